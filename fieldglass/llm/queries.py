@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldglass.llm import bpe_coding, token_counts
+from fieldglass.llm import bpe_coding, minhash_dedup, token_counts
 from fieldglass.llm.common import read_table, shared_dir, text_column
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,3 +42,9 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     counted = token_counts.count_tokens(docs, tokenizer_path("byte_bpe_50k.json"), cache)
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
+
+
+@_query
+def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents."""
+    return minhash_dedup.linked(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
