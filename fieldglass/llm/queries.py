@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldglass.llm import bpe_coding, minhash_dedup, token_counts
+from fieldglass.llm import bpe_coding, minhash_dedup, suffix_dedup, token_counts
 from fieldglass.llm.common import read_table, shared_dir, text_column
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,3 +48,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents."""
     return minhash_dedup.linked(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@_query
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Removal of every byte that a repeating 400-byte string covers."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffix_dedup.remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
