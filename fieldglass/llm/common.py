@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,7 +61,8 @@ def chunks(batches: Iterable[pa.RecordBatch], text: str = "text", limit: int = C
             yield batch
             continue
         start = size = 0
-        for i, n in enumerate(pa.compute.binary_length(column).to_pylist()):
+        lengths = pc.multiply(pc.list_value_length(column), 4) if pa.types.is_list(column.type) else pc.binary_length(column)
+        for i, n in enumerate(lengths.to_pylist()):
             if size and size + (n or 0) > limit:
                 yield batch.slice(start, i - start)
                 start, size = i, 0
