@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldglass.llm import bpe_coding, minhash_dedup, suffix_dedup, token_counts
+from fieldglass.llm import bpe_coding, classify, minhash_dedup, nbsvm, suffix_dedup, token_counts
 from fieldglass.llm.common import read_table, shared_dir, text_column
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,3 +55,17 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Removal of every byte that a repeating 400-byte string covers."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return suffix_dedup.remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@_query
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents from word n-grams."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return classify.classified(docs, read_table(spark, sf_dir, "labels"), "quality", nbsvm.word_features, 0.3).drop("text")
+
+
+@_query
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of all documents from character n-grams."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return classify.classified(docs, read_table(spark, sf_dir, "labels"), "toxic", nbsvm.char_features, 0.5).drop("text")
