@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldglass.llm import bpe_coding, classify, minhash_dedup, nbsvm, suffix_dedup, token_counts
+from fieldglass.llm import bpe_coding, classify, decontaminate, minhash_dedup, nbsvm, suffix_dedup, token_counts
 from fieldglass.llm.common import read_table, shared_dir, text_column
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,3 +69,9 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity scores of all documents from character n-grams."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return classify.classified(docs, read_table(spark, sf_dir, "labels"), "toxic", nbsvm.char_features, 0.5).drop("text")
+
+
+@_query
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and benchmark item found in it."""
+    return decontaminate.matches(read_table(spark, sf_dir, "documents").select("doc_id", "text"), read_table(spark, sf_dir, "benchmark").select("item_id", "text"))
