@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldglass.llm import bpe_coding, chat, classify, decontaminate, fingerprints, minhash_dedup, nbsvm, suffix_dedup, token_counts
+from fieldglass.llm import bpe_coding, chat, classify, decontaminate, fingerprints, lm_score, minhash_dedup, nbsvm, suffix_dedup, token_counts
 from fieldglass.llm.common import read_table, shared_dir, text_column
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -112,3 +112,9 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = fingerprints
     rows = f.with_edit(f.with_next(read_table(spark, sf_dir, "documents").select("doc_id", "text")))
     return rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), f.as_text(F.col("sketch")).alias("fingerprint"), f.as_text(F.col("edited_sketch")).alias("edited_fingerprint"), f.resemblance(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"), f.resemblance(F.col("sketch"), F.col("next_sketch")).alias("near_next"))
+
+
+@_query
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language-model scores of all documents, from those that are not held out."""
+    return lm_score.score(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
