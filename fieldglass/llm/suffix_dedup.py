@@ -157,8 +157,8 @@ def _runs(groups: DataFrame, width: int) -> DataFrame:
     return dealt.select("group", "context", "rank", "at", "bytes").mapInArrow(run, "context long, start long, end long, earlier boolean")
 
 
-def _cut(batch: pa.RecordBatch, width: int) -> pa.RecordBatch:
-    """Removes from each text the bytes its intervals of windows cover; `all` removes everything."""
+def _cut(batch: pa.RecordBatch, width: int, as_text: bool) -> pa.RecordBatch:
+    """Removes from each text the bytes its intervals of windows cover; a row marked `__all` loses everything."""
     removed, spans, kept, sizes = [], [], [], []
     for text, intervals, whole in zip(batch.column("__text").cast(pa.binary()).to_pylist(), batch.column("__intervals").to_pylist(), batch.column("__all").to_pylist(), strict=True):
         sizes.append(len(text))
@@ -180,7 +180,8 @@ def _cut(batch: pa.RecordBatch, width: int) -> pa.RecordBatch:
         spans.append(n)
         kept.append(rest)
     names = [x for x in batch.schema.names if x not in ("__text", "__intervals", "__all")]
-    added = [pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary())]
+    rest = pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary())
+    added = [pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), rest]
     return pa.RecordBatch.from_arrays([*(batch.column(x) for x in names), *added], names=[*names, "n_bytes", "n_removed", "n_spans", "kept"])
 
 
@@ -215,8 +216,8 @@ def intervals(long: DataFrame, width: int, keep_first: bool) -> DataFrame:
     return full.union(part).groupBy("digest").agg(F.collect_list(F.struct("s", "e")).alias("__intervals"))
 
 
-def remove_repeats(df: DataFrame, width: int = 400, keep_first: bool = False, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Adds n_bytes, n_removed, n_spans (maximal removed runs) and kept (binary: what stays) to each row."""
+def remove_repeats(df: DataFrame, width: int = 400, keep_first: bool = False, as_text: bool = False, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Adds n_bytes, n_removed, n_spans (maximal removed runs) and kept to each row: the bytes that stay, or with `as_text` those of whole characters as text."""
     given = df.drop("n_bytes", "n_removed", "n_spans", "kept").withColumn("__text", text_column(text)).withColumn("__digest", F.unhex(F.md5("__text")))
     long = given.filter(F.octet_length("__text") >= width).select(F.col("__digest").alias("digest"), "__text", F.col(key).alias("__key"))
     told = intervals(long, width, keep_first).withColumnRenamed("digest", "__digest")
@@ -228,5 +229,5 @@ def remove_repeats(df: DataFrame, width: int = 400, keep_first: bool = False, ke
         whole = F.lit(False)
     joined = given.join(told.hint("shuffle_hash"), "__digest", "left").withColumn("__all", whole)
     out = joined.select(*[c for c in df.columns if c not in ("n_bytes", "n_removed", "n_spans", "kept")], "__text", "__intervals", "__all")
-    schema = out.drop("__text", "__intervals", "__all").schema.add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("kept", "binary")
-    return over_text(out, lambda batch: _cut(batch, width), schema, "__text")
+    schema = out.drop("__text", "__intervals", "__all").schema.add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("kept", "string" if as_text else "binary")
+    return over_text(out, lambda batch: _cut(batch, width, as_text), schema, "__text")
