@@ -94,8 +94,8 @@ def merged(found: DataFrame) -> DataFrame:
     Kinds and properties are exploded and pre-aggregated per (id, value), so an id with very many rows shrinks to its
     distinct kinds and keys before its row is built.
     """
-    firsts = found.select("id", "ord", F.explode("kinds").alias("kind")).groupBy("id", "kind").agg(F.min("ord").alias("ord"))
-    kind_lists = firsts.groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("ord", "kind"))), lambda x: x["kind"]).alias("kinds"))
+    firsts = found.select("id", "ord", F.posexplode("kinds").alias("pos", "kind")).groupBy("id", "kind").agg(F.min(F.struct("ord", "pos")).alias("at"))
+    kind_lists = firsts.groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "kind"))), lambda x: x["kind"]).alias("kinds"))
     names = found.groupBy("id").agg(F.min_by("name", F.struct("ord", "name")).alias("name"))
     entries = found.select("id", "ord", F.explode("properties").alias("key", "value")).groupBy("id", "key").agg(F.min_by("value", F.struct("ord", "value")).alias("value"))
     props = entries.groupBy("id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("key", "value")))).alias("properties"))
