@@ -88,6 +88,7 @@ def count_tokens(df: DataFrame, path: str, cache: DigestCache, text: str = "text
         n = _counter(version, shipped.value, kind)(batch.column(1).to_pylist())
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], names=["digest", "n_tokens"])
 
-    cache.append(over_text(chosen.select("digest", "__text"), step, "digest string, n_tokens long", "__text"), version)
+    encoded = over_text(chosen.select("digest", "__text"), step, "digest string, n_tokens long", "__text")
+    cache.append(encoded.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")), version)  # rows repeated with their key meet here
     counts = cache.known(version)
     return given.join(counts.hint("merge"), "digest")
