@@ -454,3 +454,49 @@ def pseudonymised_customers(spark, sf_dir):
     both = one.select("c_custkey", F.col("FullName").alias("a")).join(two.select("c_custkey", F.col("FullName").alias("b")), "c_custkey")
     told = both.agg((F.countDistinct("a") == F.count("a")).alias("distinct_names"), F.bool_and(F.col("a") == F.col("b")).alias("stable"))
     return told.select(F.explode(F.array(F.lit(1), F.lit(2))).alias("run"), "distinct_names", "stable", F.lit(len(one.columns)).alias("columns"))
+
+
+@_query(r"SELECT page_id, regexp_replace(url, '^([A-Za-z][A-Za-z0-9+.-]*://)[^/:?#]+', '\1h-' || substr(sha256(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/:?#]+)', 1))), 1, 10) || '.example') AS url FROM pages")
+def url_domain_rewrite(spark, sf_dir):
+    """Hosts of all URLs replaced through a mapping of the distinct hosts."""
+    from fieldglass.operators import paths
+
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    told = pages.select(P.url_host(F.col("url")).alias("key")).filter("key != ''").distinct().withColumn("pseudonym", F.concat(F.lit("h-"), F.substring(F.sha2("key", 256), 1, 10), F.lit(".example")))
+    return paths.rewrite_host(F.col("url"), told, pages, "out").select("page_id", F.col("out").alias("url"))
+
+
+@_query(r"SELECT * FROM (VALUES ('C:\Users\ann\x.txt', 'C:\Users\***\x.txt', 'ann'), ('/home/bo', '/home/***', 'bo'), ('/srv/home', '/srv/home', ''), ('\\s\users\Cy D\z', '\\s\users\*** D\z', 'Cy')) v(path, masked, who)")
+def path_user_mask(spark, sf_dir):
+    from fieldglass.operators import paths
+
+    df = spark.createDataFrame([(x,) for x in (r"C:\Users\ann\x.txt", "/home/bo", "/srv/home", r"\\s\users\Cy D\z")], "path string")
+    return df.select("path", paths.mask_home_user(F.col("path")).alias("masked"), paths.home_user(F.col("path")).alias("who"))
+
+
+@_query("SELECT * FROM (VALUES ('AccountName', true), ('DeviceName_s', true), ('InitiatingProcessAccountUpn', true), ('ReportId', false), ('FolderPath', true), ('RemoteUrl', true), ('Protocol', false)) v(field, selected)")
+def policy_match(spark, sf_dir):
+    """The built-in policy of one table on field names."""
+    from fieldglass.operators.policy import FieldPolicy, default_fields
+
+    p = FieldPolicy(default_fields("DeviceEvents"))
+    names = ["AccountName", "DeviceName_s", "InitiatingProcessAccountUpn", "ReportId", "FolderPath", "RemoteUrl", "Protocol"]
+    return spark.createDataFrame([(n, n in p) for n in names], "field string, selected boolean")
+
+
+@_query("SELECT event_id, count(*) OVER () AS n, 2 AS parts FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL")
+def nested_props(spark, sf_dir):
+    """JSON members reached in a text column: rows with a member, their number, and the parts of an address split."""
+    user, domain = S.split_email(F.lit("ann@x.test"))
+    e = table(spark, sf_dir, "events").filter(F.get_json_object("props", "$.k").isNotNull())
+    n = e.agg(F.count(F.lit(1)).alias("n"))
+    return e.select("event_id", F.lit(1).alias("__one")).join(F.broadcast(n.withColumn("__one", F.lit(1))), "__one").select("event_id", "n", (F.when(user != "", 1).otherwise(0) + F.when(domain != "", 1).otherwise(0)).alias("parts"))
+
+
+@_query("SELECT start, event_type, count(*) AS \"Count\" FROM (SELECT date_trunc('day', ts) AS start, event_type FROM events) GROUP BY 1, 2")
+def daily_counts(spark, sf_dir):
+    """Counts by day and type through the same windowed aggregation that streams use."""
+    from fieldglass import streaming
+
+    counts = streaming.windowed_counts(table(spark, sf_dir, "events"), "ts", "1 day", "1 hour", "event_type")
+    return counts.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "Count")
