@@ -64,7 +64,8 @@ class Visitor:
         self.learning = False
         self.write(CLOSE)
 
-    def visit(self, part: dict) -> None:
+    def visit(self, part: dict | str) -> None:
+        part = {"type": "text", "text": part} if isinstance(part, str) else part
         getattr(self, f"visit_{part.get('type')}", self.visit_other)(part)
 
     def visit_text(self, part: dict) -> None:
@@ -99,7 +100,7 @@ def parts_of(content: str | None, typed: bool) -> list[dict]:
     """A turn's parts: plain content is one text; typed content is a JSON list of parts (or of strings)."""
     if not typed:
         return [{"type": "text", "text": content or ""}]
-    return [{"type": "text", "text": p} if isinstance(p, str) else p for p in json.loads(content or "[]")]
+    return json.loads(content or "[]")
 
 
 def format_conversations(rows: DataFrame, conversation: str = "conv_id", turn: str = "turn", role: str = "role", content: str = "text", typed: bool = False) -> DataFrame:
