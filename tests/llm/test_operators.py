@@ -115,11 +115,8 @@ def _components(rows):
 
 def test_near_duplicates_equal_brute_force(spark, sf, edge, empty):
     for df in (spark.read.parquet(f"{sf}/documents.parquet"), edge):
-        want = sorted((i, n, c, i == c) for i, n, c in _components([(r.doc_id, r.text) for r in df.collect()]))if df is not edge else None
-        got = minhash_dedup.linked(df)
-        if want is None:
-            want = sorted(((i, n, c, i == c) for i, n, c in _components([(r.doc_id, r.text) for r in df.collect()])), key=repr)
-        assert rows_of(got) == sorted(want, key=repr)
+        want = sorted(((i, n, c, i == c) for i, n, c in _components([(r.doc_id, r.text) for r in df.collect()])), key=repr)
+        assert rows_of(minhash_dedup.linked(df)) == want
     assert minhash_dedup.linked(empty).collect() == []
 
 
@@ -267,8 +264,9 @@ def test_leaks_are_found_and_clean_texts_left(spark, sf, edge, empty, monkeypatc
 # 8
 
 
-def test_chat_query_agrees_with_sql(spark, sf):
-    assert agree(queries.op8_chat_format(spark, sf), queries.ORACLES["op8_chat_format"], sf)
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_queries_agree_with_sql(spark, sf, name):
+    assert agree(queries.QUERIES[name](spark, sf), queries.ORACLES[name], sf)
 
 
 def test_chat_round_trip_of_hostile_texts(spark):
