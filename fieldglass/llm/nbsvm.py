@@ -115,14 +115,15 @@ def dual_descent(rows: Sequence[np.ndarray], labels: np.ndarray, scale: np.ndarr
     """Weights and bias of the L2-regularised hinge-loss model by dual coordinate descent; rows are divided by `norm`."""
     rng = np.random.default_rng(seed)
     w, b = np.zeros(len(scale)), 0.0
-    values = [scale[r] for r in rows]
-    values = [v / norm(v) for v in values]
-    square = np.array([np.square(v).sum() + 1.0 for v in values])
+    scale = scale.astype(np.float32)
+    divisor = np.array([norm(scale[r]) for r in rows])  # rows themselves are scaled anew at each visit: kept, they would be most of the memory
+    square = np.array([np.square(scale[r]).sum() for r in rows]) / divisor**2 + 1.0
     upper = cost * np.where(labels > 0, 0.5 * len(labels) / max(1, (labels > 0).sum()), 0.5 * len(labels) / max(1, (labels <= 0).sum()))
     alpha = np.zeros(len(rows))
     for _ in range(epochs):
         for i in rng.permutation(len(rows)):
-            r, v, y = rows[i], values[i], labels[i]
+            r, y = rows[i], labels[i]
+            v = scale[r] / divisor[i]
             grad = y * ((w[r] * v).sum() + b) - 1.0
             new = min(max(alpha[i] - grad / square[i], 0.0), upper[i])
             if new != alpha[i]:
