@@ -4,11 +4,12 @@ Documents with equal shingle sets form one class; sketches, buckets, links and c
 a group of exact copies of any size is one node. Classes that share a band meet in a bucket. A bucket never
 emits all its pairs: its members are compared with a few leaders first, true links (confirmed on the full
 sets) are merged into components, and only members of different components in one bucket are compared
-further: with other leaders, and what those leave open with each other. No pair of one bucket is left that
-is neither in one component nor compared, so nothing is lost to hot buckets.
+further: with other leaders, and then, where few are outside the bucket's largest component, with all
+others. Where many are, an exact prefix filter leaves only pairs that can link. No pair of one bucket is left
+that is neither in one component, nor compared, nor ruled out, so nothing is lost to hot buckets.
 
 32 bands of 4 coordinates miss a pair at the threshold of 0.75 with probability below 1e-5. Before full sets
-are fetched, a pair is dropped if its sketches agree so little that a resemblance of 0.75 is over six
+are fetched, a pair is dropped if its sketches agree so little that a resemblance of 0.75 is over five
 standard deviations away.
 
 Defined results: null text or no words: n_shingles 0, own component. A null id takes part and never names a
@@ -27,9 +28,11 @@ from fieldglass.llm.common import over_text, staged, text_column
 from fieldglass.llm.components import components
 
 BINS, ROWS = 128, 4
-#: Agreeing coordinates (of BINS, 8 bits each) under which a pair can't reach the threshold, with six sigma to spare.
-SIGMAS = 6.0
-LEADERS, ROUNDS = 4, 2
+#: Agreeing coordinates (of BINS, 8 bits each) under which a pair can't reach the threshold, with five sigma to spare.
+SIGMAS = 5.0
+LEADERS, ROUNDS = 4, 1
+#: Buckets with more members outside their largest component are compared by prefixes, not by pairs; cells of the shingle order.
+FEW, ORDER = 8, 1 << 20
 
 
 def signatures(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5) -> DataFrame:
@@ -101,6 +104,75 @@ def _ordered(x, y):
     return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
 
 
+def _main(rows: DataFrame, by: str) -> DataFrame:
+    """Rows (by, node, component) of keys with more than one component, with the key's largest one and the number of nodes outside it."""
+    sizes = rows.groupBy(by, "component").agg(F.count(F.lit(1)).alias("n"))
+    keys = sizes.groupBy(by).agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
+    return rows.join(keys.select(by, F.col("top.component").alias("main"), (F.col("all") - F.col("top.n")).alias("others")), by)
+
+
+def _across(rows: DataFrame, by: str, percent: int | None = None) -> DataFrame:
+    """Pairs of nodes of one key in different components; one is outside the key's largest component.
+
+    With `percent`, rows also have a size n and the key's place among a node's ordered shingles. If the key is the first
+    that two nodes share, they share no more than what follows it in either, which must suffice for a link.
+    """
+    more = ["n", "place"] if percent else []
+    one = rows.filter("component != main").select(by, F.col("node").alias("x"), F.col("component").alias("cx"), *(F.col(c).alias(f"x_{c}") for c in more))
+    two = rows.select(by, F.col("node").alias("y"), F.col("component").alias("cy"), *(F.col(c).alias(f"y_{c}") for c in more))
+    met = (one[by] == two[by]) & (F.col("cx") != F.col("cy"))
+    if percent:
+        met &= F.least(F.col("x_n") - F.col("x_place"), F.col("y_n") - F.col("y_place")) * (100 + percent) >= (F.col("x_n") + F.col("y_n")) * percent
+    return one.join(two, met).select(*_ordered("x", "y")).distinct()
+
+
+def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """(token, node, component, n, place): the tokens by which a class can meet others that link with it (exact prefix filtering).
+
+    Shingles are put in one fixed order, rare ones first. Classes of sizes a and b that link share p/(100+p) of a + b
+    shingles at least, so they share one of the first a - that + 1 of a's. As that depends on the other's size, sizes
+    are cut into bands of 5 percent, and tokens are a shingle with a pair of bands. The order's counts are kept in a
+    vector of ORDER cells, whatever the data: cells shared by chance make the order less sharp but never lose a pair.
+    """
+
+    def counts(batches):
+        total = np.zeros(ORDER, np.int64)
+        for batch in batches:
+            total += np.bincount(batch.column(0).flatten().to_numpy().view(np.uint64) >> np.uint64(44), minlength=ORDER)
+        cell = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int64()), pa.array(total[cell], pa.int64())], names=["cell", "n"])
+
+    summed = sets.select("members").mapInArrow(counts, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    frequency = np.zeros(ORDER, np.int64)
+    frequency[summed["cell"].to_numpy()] = summed["n"].to_numpy()
+    shipped = sets.sparkSession.sparkContext.broadcast(frequency)
+
+    def run(batches):
+        share = percent / (100 + percent)
+        band = lambda n: int(np.floor(np.log(n) / np.log(1.05)))
+        least = lambda b: max(1, int(np.ceil(1.05**b - 1e-9)))
+        for batch in batches:
+            tokens, nodes, comps, sizes, places = [], [], [], [], []
+            for node, component, members in zip(*batch.columns, strict=True):
+                h = members.values.to_numpy().view(np.uint64)
+                f = shipped.value[h >> np.uint64(44)]
+                order = np.lexsort((h, f))
+                h, f, n = h[order], f[order], len(h)
+                own = band(n)
+                for other in range(band(max(1, n * percent // 100)), band(-(-n * 100 // percent)) + 1):
+                    shared = int(np.ceil(share * (n + least(other)) - 1e-9))
+                    place = np.flatnonzero(f[: max(0, n - shared + 1)] > 1)  # what only this class has meets no other
+                    first = h[place]
+                    tokens.append(S.mixed(first + np.uint64(min(own, other) * 4096 + max(own, other))).view(np.int64))
+                    nodes.append(np.full(len(first), node.as_py()))
+                    comps.append(np.full(len(first), component.as_py()))
+                    sizes.append(np.full(len(first), n))
+                    places.append(place)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64()) for x in (tokens, nodes, comps, sizes, places)], names=["token", "node", "component", "n", "place"])
+
+    return staged(sets.select("node", "component", "members").mapInArrow(run, "token long, node long, component long, n long, place long"), "prefixes")
+
+
 def linked(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 75) -> DataFrame:
     """(key, n_shingles, component_id, kept) for each row of `df`."""
     given = df.select(F.col(key), text_column(text).alias("__text"))
@@ -125,18 +197,19 @@ def linked(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5
 
     for step in range(ROUNDS + 1):
         open_rows = rows.select("bucket", "node").join(label, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
-        order = [F.xxhash64("node", F.lit(step * LEADERS + i)) for i in range(LEADERS)]
-        mixed = open_rows.groupBy("bucket").agg(F.min("component").alias("__low"), F.max("component").alias("__high"), *(F.min(F.struct(o.alias("o"), "node", "component")).alias(f"l{i}") for i, o in enumerate(order))).filter("__low < __high")
-        rows = staged(open_rows.join(mixed, "bucket").select("bucket", "node", "component", F.array(*(F.struct(F.col(f"l{i}.node").alias("node"), F.col(f"l{i}.component").alias("component")) for i in range(LEADERS))).alias("leaders")), "open")
-        if rows.isEmpty():
-            break
         if step < ROUNDS:
+            order = [F.xxhash64("node", F.lit(step * LEADERS + i)) for i in range(LEADERS)]
+            mixed = open_rows.groupBy("bucket").agg(F.min("component").alias("__low"), F.max("component").alias("__high"), *(F.min(F.struct(o.alias("o"), "node", "component")).alias(f"l{i}") for i, o in enumerate(order))).filter("__low < __high")
+            rows = staged(open_rows.join(mixed, "bucket").select("bucket", "node", "component", F.array(*(F.struct(F.col(f"l{i}.node").alias("node"), F.col(f"l{i}.component").alias("component")) for i in range(LEADERS))).alias("leaders")), "open")
+            if rows.isEmpty():
+                break
             pairs = rows.select("node", "component", F.explode("leaders").alias("l")).filter("component != l.component").select(*_ordered("node", "l.node")).distinct()
-        else:  # whatever is open: members outside the first leader's component against all others
-            one = rows.filter(F.col("component") != F.col("leaders")[0]["component"]).select("bucket", F.col("node").alias("x"), F.col("component").alias("cx"))
-            two = rows.select("bucket", F.col("node").alias("y"), F.col("component").alias("cy"))
-            pairs = one.join(two, (one["bucket"] == two["bucket"]) & (F.col("cx") != F.col("cy"))).select(*_ordered("x", "y")).distinct()
-        new = staged(links.confirmed(pairs), "links")
+        else:
+            rows = staged(open_rows, "open")
+            pairs = _across(_main(rows, "bucket").filter(F.col("others") <= FEW), "bucket")
+            many = _main(rows, "bucket").filter(F.col("others") > FEW).select("node", "component").distinct()
+            pairs = pairs.union(_across(_main(_prefixes(many.join(links.sets, "node"), percent), "token"), "token", percent)).distinct()
+        new = staged(links.confirmed(staged(pairs, "pairs")), "links")
         name = label.select("node", "component")
         ends = new.join(name.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(name.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
         merged = components(ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).filter("a != b").distinct())
