@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -26,13 +27,28 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/fieldglass/{spark.sparkContext.applicationId}"
 
 
+def release(spark: SparkSession) -> None:
+    """Lets executors delete shuffle files of finished jobs: they stay until the driver drops its handles on them."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Writes a table to the shared folder and reads it back: lineage ends there, and lost executors lose nothing."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    release(df.sparkSession)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes the files of a staged table that nothing will read again."""
+    spark = df.sparkSession
+    for name in df.inputFiles()[:1]:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(name).getParent()
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def text_column(name: str = "text") -> Column:
     """A text column with null read as empty."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))

@@ -8,7 +8,7 @@ word or pair is one entry per batch, and shards are cut evenly by hash: a contex
 
 A shard of pairs builds a trie of those seen in training, with quantised smoothed probabilities, and searches it for
 every pair asked for. p(w|v) = (c(v w) + KAPPA p(w)) / (c(v) + KAPPA), where p(w) is absolutely discounted and unseen
-words share the discount as one unknown word; contexts seen once are not used. A text begins with the context of the
+words share the discount as one unknown word; contexts seen once are not used, and pairs of a word seen once are pruned. A text begins with the context of the
 end mark. What is learnt grows with the corpus and is never gathered in one place; only five sums reach the driver.
 
 Null and empty texts have one token, the end. A null id trains (its remainder is 0). Repeated rows count repeatedly and score
@@ -28,16 +28,16 @@ from pyspark.sql import functions as F
 
 from fieldglass.llm import ngram_trie as T
 from fieldglass.llm import shingles as S
-from fieldglass.llm.common import chunks, id_remainder, staged, text_column
+from fieldglass.llm.common import chunks, discard, id_remainder, release, staged, text_column
 
 _U = np.uint64
 #: Weight of the word model in a context; bytes of text in a batch; tokens per shard; shards a context is dealt over.
-KAPPA, BATCH_BYTES, SHARD_TOKENS, SPLITS = 20.0, 16 << 20, 1_000_000, 16
+KAPPA, BATCH_BYTES, SHARD_TOKENS, SPLITS = 20.0, 8 << 20, 1_000_000, 16
 END = S._hashes[b"\n"]
 
 
 def _pack(a: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(a.tobytes())
+    return zstandard.ZstdCompressor(level=3).compress(a.tobytes())
 
 
 def _unpack(b: bytes, kind) -> np.ndarray:
@@ -66,9 +66,20 @@ def _training(held: bytes, sizes: bytes) -> tuple[np.ndarray, np.ndarray, np.nda
     return h, n, np.repeat(~h, n)
 
 
-def _slices(keys: np.ndarray, bits: int) -> np.ndarray:
-    """Where each shard begins among ascending hashes, and where the last one ends."""
-    return np.searchsorted(keys >> _U(64 - bits), np.arange((1 << bits) + 1, dtype=_U))
+def _raw(values: np.ndarray, bits: int) -> bytes:
+    """Numbers of `bits` bits as that many bytes each."""
+    return np.ascontiguousarray(np.ascontiguousarray(values).view(np.uint8).reshape(-1, 8)[:, : bits // 8]).tobytes()
+
+
+def _of_raw(raw: bytes, bits: int) -> np.ndarray:
+    wide = np.zeros((len(raw) * 8 // bits, 8), np.uint8)
+    wide[:, : bits // 8] = np.frombuffer(raw, np.uint8).reshape(-1, bits // 8)
+    return wide.view(_U).ravel()
+
+
+def _slices(keys: np.ndarray, bits: int, width: int = 64) -> np.ndarray:
+    """Where each shard begins among ascending hashes of `width` bits, and where the last one ends."""
+    return np.searchsorted(keys >> _U(width - bits), np.arange((1 << bits) + 1, dtype=_U))
 
 
 def _word_requests(batches: DataFrame, bits: int) -> DataFrame:
@@ -109,26 +120,28 @@ class _Words:
 
 
 def _pairs(tokens: np.ndarray, sizes: np.ndarray, words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(context hash, successor hash, first word, second word, pair number of each token or -1), pairs sorted by hashes.
+    """(context hash, successor hash, first word, second word, pair number of each token or -1, training count of each token's context), pairs sorted by hashes.
 
-    The number of a pair is -1 where its context was seen less than twice in training.
+    The number of a pair is -1 where one of its words was seen less than twice in training: such pairs are pruned.
     """
     end = int(np.searchsorted(words, _U(END)))
     before = np.empty_like(tokens)
     before[1:] = tokens[:-1]
     before[np.cumsum(sizes) - sizes] = end
-    used = np.flatnonzero(counts[before] >= 2)
+    total = counts[before]
+    total = np.where(total >= 2, total, 0)
+    used = np.flatnonzero((total > 0) & (counts[tokens] >= 2))
     keys, number = np.unique(before[used] * len(words) + tokens[used], return_inverse=True)
     first, second = keys // len(words), keys % len(words)
     deal = words[second] % _U(SPLITS)
-    context = S.mixed(words[first] + deal * _U(0x9E3779B97F4A7C15))
+    context = S.mixed(words[first] + deal * _U(0x9E3779B97F4A7C15)) >> _U(64 - T.CONTEXT_BITS)
     successor = words[second] >> _U(64 - T.SUCCESSOR_BITS)
     order = np.lexsort((successor, context))
     place = np.empty(len(order), np.int64)
     place[order] = np.arange(len(order))
     numbers = np.full(len(tokens), -1)
     numbers[used] = place[number]
-    return context[order], successor[order], first[order], second[order], numbers
+    return context[order], successor[order], first[order], second[order], numbers, total
 
 
 def _joined_counts(replies) -> np.ndarray:
@@ -141,33 +154,29 @@ def _pair_requests(batches: DataFrame, bits: int, sums: tuple) -> DataFrame:
             for batch, held, sizes, tokens, words, replies in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
                 w, counts = np.frombuffer(words, _U), _joined_counts(replies)
                 t, (_, n, training) = _unpack(tokens, np.int32).astype(np.int64), _training(held, sizes)
-                context, successor, first, second, numbers = _pairs(t, n, w, counts)
+                context, successor, first, second, numbers, _ = _pairs(t, n, w, counts)
                 seen = np.bincount(numbers[training & (numbers >= 0)], minlength=len(context)).astype(np.int32)
                 code = T.quantised(_Words(counts, sums).log10p[second])
-                low = np.ascontiguousarray(successor).view(np.uint8).reshape(-1, 8)[:, : T.SUCCESSOR_BITS // 8]
-                at = _slices(context, bits)
-                out: list[list] = [[] for _ in range(7)]
+                at = _slices(context, bits, T.CONTEXT_BITS)
+                out: list[list] = [[] for _ in range(8)]
                 for k in np.flatnonzero(at[1:] > at[:-1]).tolist():
                     s = slice(at[k], at[k + 1])
                     heads = np.flatnonzero(np.concatenate([[True], context[s][1:] != context[s][:-1]]))
-                    fields = (context[s][heads].tobytes(), _pack(np.diff(np.append(heads, at[k + 1] - at[k])).astype(np.int32)), _pack(counts[first[s][heads]]), low[s].tobytes(), _pack(np.stack([seen[s].astype(np.int32), code[s].astype(np.int32)])))
+                    fields = (_raw(context[s][heads], T.CONTEXT_BITS), _pack(np.diff(np.append(heads, at[k + 1] - at[k])).astype(np.int32)), _pack(counts[first[s][heads]]), _raw(successor[s], T.SUCCESSOR_BITS), _pack(seen[s]), _pack(code[s]))
                     for column, value in zip(out, (k, batch, *fields), strict=True):
                         column.append(value)
-                kinds = (pa.int64(), pa.int64(), *[pa.binary()] * 5)
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["shard", "batch", "contexts", "runs", "totals", "successors", "seen"])
+                kinds = (pa.int64(), pa.int64(), *[pa.binary()] * 6)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["shard", "batch", "contexts", "runs", "totals", "successors", "seen", "codes"])
 
-    return batches.select("batch", "held", "sizes", "tokens", "words", "replies").mapInArrow(run, "shard long, batch long, contexts binary, runs binary, totals binary, successors binary, seen binary")
+    return batches.select("batch", "held", "sizes", "tokens", "words", "replies").mapInArrow(run, "shard long, batch long, contexts binary, runs binary, totals binary, successors binary, seen binary, codes binary")
 
 
 def _pair_replies(table: pa.Table) -> pa.Table:
     """Builds the shard's trie and answers each batch with the codes of its pairs."""
-    parts, size = [], T.SUCCESSOR_BITS // 8
-    for contexts, runs, totals, successors, seen in zip(*(table[c].to_pylist() for c in ("contexts", "runs", "totals", "successors", "seen")), strict=True):
+    parts = []
+    for contexts, runs, totals, successors, seen, codes in zip(*(table[c].to_pylist() for c in ("contexts", "runs", "totals", "successors", "seen", "codes")), strict=True):
         n = _unpack(runs, np.int32)
-        low = np.zeros((len(successors) // size, 8), np.uint8)
-        low[:, :size] = np.frombuffer(successors, np.uint8).reshape(-1, size)
-        s = _unpack(seen, np.int32).reshape(2, -1)
-        parts.append((np.repeat(np.frombuffer(contexts, _U) >> _U(2), n), low.view(_U).ravel(), np.repeat(_unpack(totals, np.int64), n), s[0], s[1]))
+        parts.append((np.repeat(_of_raw(contexts, T.CONTEXT_BITS), n), _of_raw(successors, T.SUCCESSOR_BITS), np.repeat(_unpack(totals, np.int64), n), _unpack(seen, np.int32), _unpack(codes, np.uint8)))
     context, successor, total, seen, code = (np.concatenate(x) for x in zip(*parts, strict=True))
     order = np.lexsort((successor, context))
     context, successor = context[order], successor[order]
@@ -193,13 +202,12 @@ def _scored(batches: DataFrame, key: str, kind: str, sums: tuple) -> DataFrame:
             for i, (held, sizes, tokens, words, replies, answers) in enumerate(zip(*(b.column(j).to_pylist() for j in range(1, 7)), strict=True)):
                 w, counts = np.frombuffer(words, _U), _joined_counts(replies)
                 t, (h, n, _) = _unpack(tokens, np.int32).astype(np.int64), _training(held, sizes)
-                level, numbers = _Words(counts, sums), _pairs(t, n, w, counts)
-                first, numbers = numbers[2], numbers[4]
+                level, (numbers, total) = _Words(counts, sums), _pairs(t, n, w, counts)[4:]
                 codes = np.concatenate([_unpack(r["reply"], np.uint8) for r in sorted(answers or (), key=lambda r: r["shard"])] or [np.zeros(0, np.uint8)])
-                p = level.log10p[t]
+                p = level.log10p[t] + np.log10(KAPPA / (total + KAPPA))
                 paired = np.flatnonzero(numbers >= 0)
-                code, total = codes[numbers[paired]], counts[first[numbers[paired]]]
-                p[paired] = np.where(code > 0, T.restored(code), np.log10(KAPPA / (total + KAPPA)) + p[paired])
+                code = codes[numbers[paired]]
+                p[paired[code > 0]] = T.restored(code[code > 0])
                 base = np.log10((counts[t] + 1.0) / (level.n + level.v + 1.0))
                 begin = np.cumsum(n) - n
                 columns = [pa.array(h), pa.array(n), pa.array(np.add.reduceat((counts[t] > 0).astype(np.int64), begin)), pa.array(np.full(len(n), level.n, np.int64)), pa.array(np.add.reduceat(base, begin)), pa.array(np.add.reduceat(p, begin))]
@@ -219,7 +227,10 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", modulus: int
     told = staged(_word_requests(batches, bits).groupBy("shard").applyInArrow(_word_replies, "batch long, shard long, reply binary"), "words")
     sums = tuple(np.sum([np.frombuffer(r[0], np.int64) for r in told.filter("batch = -1").select("reply").collect()] or [[0] * 4], axis=0).tolist())
     replies = told.filter("batch >= 0").groupBy("batch").agg(F.collect_list(F.struct("shard", "reply")).alias("replies"))
-    counted = batches.join(replies, "batch")
+    counted = staged(batches.join(replies, "batch"), "counted")
+    for old in (batches, told):  # all they say is in `counted`
+        discard(old)
     answered = staged(_pair_requests(counted, bits, sums).groupBy("shard").applyInArrow(_pair_replies, "batch long, shard long, reply binary"), "pairs")
+    release(docs.sparkSession)
     answers = answered.groupBy("batch").agg(F.collect_list(F.struct("shard", "reply")).alias("answers"))
     return _scored(counted.join(answers, "batch", "left"), key, kind, sums)

@@ -13,8 +13,8 @@ from pathlib import Path
 import numpy as np
 
 _U = np.uint64
-#: Bits of a successor within its context; quantisation steps per power of ten.
-SUCCESSOR_BITS, STEPS = 40, 25
+#: Bits of a context, and of a successor within its context; quantisation steps per power of ten.
+CONTEXT_BITS, SUCCESSOR_BITS, STEPS = 48, 40, 25
 
 
 def quantised(log10p: np.ndarray) -> np.ndarray:
@@ -106,12 +106,12 @@ class Trie:
 
     @classmethod
     def build(cls, context: np.ndarray, successor: np.ndarray, codes: np.ndarray) -> Trie:
-        """From pairs sorted by context (62 bits) and successor (SUCCESSOR_BITS), without duplicates."""
+        """From pairs sorted by context and successor, without duplicates."""
         first = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]])) if len(context) else np.zeros(0, np.int64)
         rank = np.zeros(len(context), np.int64)
         rank[first[1:]] = 1
         own = np.cumsum(rank).astype(_U)
-        a = EliasFano.build(context[first], 1 << 62)
+        a = EliasFano.build(context[first], 1 << CONTEXT_BITS)
         b = EliasFano.build((own << _U(SUCCESSOR_BITS)) | successor, (len(first) + 1) << SUCCESSOR_BITS)
         return cls({"meta": np.array([a.n, a.low_bits, b.n, b.low_bits], _U), "context_low": a.lows, "context_high": a.highs, "pair_low": b.lows, "pair_high": b.highs, "codes": codes})
 

@@ -319,7 +319,7 @@ def test_scores_equal_a_plain_model(spark, sf, edge, empty):
 
 def test_trie_finds_exactly_its_pairs(tmp_path):
     rnd = np.random.default_rng(0)
-    context, successor = np.sort(rnd.integers(0, 1 << 62, 500).astype(np.uint64))[rnd.integers(0, 500, 4000)], rnd.integers(0, 1 << 40, 4000).astype(np.uint64)
+    context, successor = np.sort(rnd.integers(0, 1 << 48, 500).astype(np.uint64))[rnd.integers(0, 500, 4000)], rnd.integers(0, 1 << 40, 4000).astype(np.uint64)
     order = np.lexsort((successor, context))
     context, successor = context[order], successor[order]
     codes = rnd.integers(1, 256, 4000).astype(np.uint8)
