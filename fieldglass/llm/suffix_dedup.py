@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldglass.llm import suffixes
-from fieldglass.llm.common import chunks, over_text, partitions, staged, text_column
+from fieldglass.llm.common import chunks, over_text, partitions, release, staged, text_column
 
 #: Bytes of contexts whose suffixes are ordered at once.
 BATCH = 2 << 20
@@ -209,6 +209,7 @@ def intervals(long: DataFrame, width: int, keep_first: bool) -> DataFrame:
     divided = _pieces(bodies.filter(F.col("contexts") > DIVIDE).select("anchor", "context", "rank", "lead", "bytes"), width)
     runs = staged(_runs(whole.union(divided), width), "runs").filter(F.col("earlier") == keep_first).select("context", "start", "end").distinct()
 
+    release(long.sparkSession)
     found = met.select("digest", "first", "windows", "context", "at").join(counted, "context")
     all_of_it = (F.col("at") != F.col("rank")) if keep_first else (F.col("n") > 1)
     full = found.filter(all_of_it).select("digest", F.col("first").alias("s"), (F.col("first") + F.col("windows") - 1).alias("e"))
