@@ -8,8 +8,8 @@ word or pair is one entry per batch, and shards are cut evenly by hash: a contex
 
 A shard of pairs builds a trie of those seen in training, with quantised smoothed probabilities, and searches it for
 every pair asked for. p(w|v) = (c(v w) + KAPPA p(w)) / (c(v) + KAPPA), where p(w) is absolutely discounted and unseen
-words share the discount as one unknown word; contexts seen once are not used, and pairs of a word seen once are pruned. A text begins with the context of the
-end mark. What is learnt grows with the corpus and is never gathered in one place; only five sums reach the driver.
+words share the discount as one unknown word; every pair of the training documents counts, and an unseen context leaves p(w). A text begins with the
+context of the end mark. What is learnt grows with the corpus and is never gathered in one place; only five sums reach the driver.
 
 Null and empty texts have one token, the end. A null id trains (its remainder is 0). Repeated rows count repeatedly and score
 alike. Without training documents every score is 0. Extra columns are ignored.
@@ -122,15 +122,14 @@ class _Words:
 def _pairs(tokens: np.ndarray, sizes: np.ndarray, words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, ...]:
     """(context hash, successor hash, first word, second word, pair number of each token or -1, training count of each token's context), pairs sorted by hashes.
 
-    The number of a pair is -1 where one of its words was seen less than twice in training: such pairs are pruned.
+    The number of a pair is -1 where one of its words was not seen in training: such a pair can't be there.
     """
     end = int(np.searchsorted(words, _U(END)))
     before = np.empty_like(tokens)
     before[1:] = tokens[:-1]
     before[np.cumsum(sizes) - sizes] = end
     total = counts[before]
-    total = np.where(total >= 2, total, 0)
-    used = np.flatnonzero((total > 0) & (counts[tokens] >= 2))
+    used = np.flatnonzero((total > 0) & (counts[tokens] > 0))
     keys, number = np.unique(before[used] * len(words) + tokens[used], return_inverse=True)
     first, second = keys // len(words), keys % len(words)
     deal = words[second] % _U(SPLITS)

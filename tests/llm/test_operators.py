@@ -317,6 +317,25 @@ def test_scores_equal_a_plain_model(spark, sf, edge, empty):
     assert lm_score.score(empty).collect() == []
 
 
+def test_pairs_of_words_seen_once_are_learnt(spark):
+    train = [i for i in range(100) if zlib.crc32(str(i).encode()) % 7 != 2]
+    held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
+    texts = [(train[0], "rare once odd"), (train[1], "rare twice"), (train[2], "twice odd one"), (held, "rare once odd"), (held + 1000, "odd odd once")]
+    docs = [(i, shingles.words(t) + [b"\n"]) for i, t in texts]
+    learnt = [ws for i, ws in docs if zlib.crc32(str(i).encode()) % 7 != 2]
+    c, pairs = Counter(w for ws in learnt for w in ws), Counter(p for ws in learnt for p in zip([b"\n"] + ws[:-1], ws))
+    n, v = sum(c.values()), len(c)
+    n1, n2 = (sum(x == k for x in c.values()) for k in (1, 2))
+    discount = min(max(n1 / max(1, n1 + 2 * n2), 0.1), 0.95)
+    p = lambda w: (c[w] - discount) / n if c[w] else discount * v / n
+    want = {i: sum(math.log10((pairs[a, w] + 20 * p(w)) / (c[a] + 20)) for a, w in zip([b"\n"] + ws[:-1], ws)) for i, ws in docs}
+    assert any(c[a] == 1 for a, _ in pairs) and any(c[w] == 1 for _, w in pairs)
+    for parts in (1, 5):  # one batch, and pairs seen in another batch only
+        got = {r.doc_id: r for r in lm_score.score(spark.createDataFrame(texts, "doc_id long, text string").repartition(parts)).collect()}
+        assert got.keys() == want.keys()
+        assert all(abs(got[i].score - want[i]) <= 0.021 * got[i].n_tokens for i in want)
+
+
 def test_trie_finds_exactly_its_pairs(tmp_path):
     rnd = np.random.default_rng(0)
     context, successor = np.sort(rnd.integers(0, 1 << 48, 500).astype(np.uint64))[rnd.integers(0, 500, 4000)], rnd.integers(0, 1 << 40, 4000).astype(np.uint64)
