@@ -12,6 +12,8 @@ import numpy as np
 K1, B = 1.2, 0.75
 #: Postings in a block of a term's list, and groups of items with bounds of their own for whole passages.
 BLOCK, GROUPS = 8, 32
+#: Words of an item that are searched as one; longer items are cut into pieces.
+PIECE = 256
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
 
@@ -43,23 +45,38 @@ def overlap(wanted: list[str], have: list[str], size: int = 3) -> float:
 
 
 class ItemIndex:
-    """Items by number with postings (item, impact) per term; an item's impacts sum to 1 over its own terms.
+    """Pieces of items by number with postings (piece, impact) per term; a piece's impacts sum to 1 over its own terms.
 
-    A passage's score for an item is its BM25 score over the score of the item's own text, so one threshold serves
-    items of every length. `document_frequency`, `items` and `mean_length` are of the whole item table.
+    An item of up to PIECE words is one piece, a longer one several of about equal length. A passage's score for a piece
+    is its BM25 score over the score of the piece's own text, so one threshold serves items of every length. `pieces` has
+    each piece's item, and how many of the item's words are before and after it. `document_frequency`, `items` and `mean_length` are of the whole item table.
     """
 
     def __init__(self, texts: dict, document_frequency: dict[str, int] | None = None, items: int | None = None, mean_length: float | None = None):
         self.ids = sorted(texts)
         tokens = [terms(texts[i]) for i in self.ids]
         self.parts = [question_and_answer(texts[i]) for i in self.ids]
-        self.longest = max((len(t) for t in tokens), default=0)
         df = document_frequency or Counter(t for ts in tokens for t in set(ts))
         n = items or max(1, len(tokens))
         mean = mean_length or sum(map(len, tokens)) / n or 1.0
         self.vocabulary: dict[str, int] = {}
         lists: list[list[tuple[int, float]]] = []
-        for i, ts in enumerate(tokens):
+        self.pieces: list[tuple[int, int, int]] = []
+        self.longest, own = 0, []
+        for item, (key, ts) in enumerate(zip(self.ids, tokens, strict=True)):
+            words = texts[key].split()
+            count = -(-len(words) // PIECE)
+            if count <= 1:
+                self.pieces.append((item, 0, 0))
+                own.append(ts)
+                self.longest = max(self.longest, len(ts))
+                continue
+            cuts = [len(words) * k // count for k in range(count + 1)]
+            for a, b in zip(cuts, cuts[1:]):
+                self.pieces.append((item, a, len(words) - b))
+                own.append([t for w in words[a:b] if (t := term(w))])
+                self.longest = max(self.longest, b - a)
+        for i, ts in enumerate(own):
             impact = {t: math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * f * (K1 + 1) / (f + K1 * (1 - B + B * len(ts) / mean)) for t, f in Counter(ts).items()}
             total = sum(impact.values())
             for t, v in impact.items():
@@ -75,7 +92,7 @@ class ItemIndex:
         self.group_most = np.zeros((len(lists) + 1, GROUPS), np.float32)
         for t, (items_of, impacts_of) in enumerate(zip(self.items, self.impacts, strict=True)):
             for i, v in zip(items_of, impacts_of, strict=True):
-                g = i * GROUPS // len(self.ids)
+                g = i * GROUPS // len(self.pieces)
                 self.group_most[t, g] = max(self.group_most[t, g], v)
         self.known: dict[str, int] = {}
 
@@ -84,9 +101,9 @@ class ItemIndex:
         return self.vocabulary.get(term(word), len(self.items))
 
     def search(self, passage: list[int], threshold: float) -> list[tuple[int, float]]:
-        """All (item, score) with a score of at least `threshold` for a passage's distinct known terms, by block-max WAND."""
+        """All (piece, score) with a score of at least `threshold` for a passage's distinct known terms, by block-max WAND."""
         cursors = [[self.items[t][0], 0, t] for t in passage]  # current item, place in the list, term
-        end, found = len(self.ids), []
+        end, found = len(self.pieces), []
         while cursors:
             cursors.sort()
             bound, pivot = 0.0, -1

@@ -1,10 +1,12 @@
 """Operator 4: documents that hold benchmark items, by BM25 with block-max WAND and a check of question and answer.
 
-Documents are cut into passages of as many words as the longest item has (32 to 256), each half covered by the next, so
-that three quarters of any item fall into one passage. Every passage is a query against the index of items. A passage is
+Items of more than 256 words are cut into pieces of about equal length, each indexed as an item of its own. Documents are
+cut into passages of as many words as the longest piece has (32 to 256), each half covered by the next, so that three
+quarters of any piece fall into one passage. Every passage is a query against the index of pieces. A passage is
 dropped as a whole if the largest impacts of its terms can't reach the threshold, over all items or within any group of
-items; what is left is searched by block-max WAND, which gives all items above it. Such an item is confirmed on the
-passage and its surroundings: runs of three terms of its question and of its answer must be there.
+items; what is left is searched by block-max WAND, which gives all pieces above it. The whole item is confirmed on the
+passage and its surroundings, as far as the item reaches from a piece: runs of three terms of its question and of its
+answer must be there.
 
 The index is sent to all executors. Its size is checked first: items are dealt into shards of at most SHARD_BYTES of text,
 each with the statistics of all items, and with more than one shard the documents are searched once for each.
@@ -47,7 +49,7 @@ class _Numbers(dict):
 
 def passages(index: bm25.ItemIndex, numbers: np.ndarray, threshold: float) -> Iterator[tuple[int, int]]:
     """The passages start..end of a document (its words as term numbers) that the bounds don't rule out."""
-    size = min(256, max(32, index.longest))
+    size = min(bm25.PIECE, max(32, index.longest))
     step, n = size // 2, len(numbers)
     sums = np.concatenate([[0.0], np.cumsum(index.most[numbers])])
     starts = np.arange(0, max(1, n - step), step)
@@ -65,19 +67,22 @@ def found_in(index: bm25.ItemIndex, numbers: _Numbers, text: str, threshold: flo
     if not words or not index.ids:
         return []
     coded = np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))
-    best: dict[int, tuple[float, int, int]] = {}
+    best: dict[int, tuple[float, int, int]] = {}  # by piece
     unknown = len(index.items)
     for s, e in passages(index, coded, threshold):
-        for item, score in index.search([t for t in np.unique(coded[s:e]).tolist() if t != unknown], threshold):
-            if item not in best or score > best[item][0]:
-                best[item] = (score, s, e)
-    out = []
-    for item, (score, s, e) in sorted(best.items()):
-        around = bm25.terms(" ".join(words[max(0, s - (e - s)) : e + (e - s)]))
+        for piece, score in index.search([t for t in np.unique(coded[s:e]).tolist() if t != unknown], threshold):
+            if piece not in best or score > best[piece][0]:
+                best[piece] = (score, s, e)
+    out: dict[int, tuple] = {}
+    for piece, (score, s, e) in sorted(best.items()):
+        item, before, after = index.pieces[piece]
+        if item in out and out[item][1] >= score:
+            continue
+        around = bm25.terms(" ".join(words[max(0, s - (e - s) - before) : e + (e - s) + after]))
         question, answer = (bm25.overlap(p, around) for p in index.parts[item])
         if question >= QUESTION and answer >= ANSWER or question >= WHOLE_QUESTION:
-            out.append((index.ids[item], score, question, answer, s))
-    return out
+            out[item] = (index.ids[item], score, question, answer, s)
+    return list(out.values())
 
 
 def _shards(items: DataFrame, key: str, text: str) -> Iterator[bm25.ItemIndex]:

@@ -261,6 +261,23 @@ def test_leaks_are_found_and_clean_texts_left(spark, sf, edge, empty, monkeypatc
     assert decontaminate.matches(empty, items).collect() == [] and decontaminate.clean(empty, items).collect() == []
 
 
+@pytest.mark.parametrize("size", [200, 600, 1000, 3000])
+def test_long_items_are_found(spark, sf, size):
+    rnd = random.Random(size)
+    words = ["".join(rnd.choice("abcdefghijklmnop") for _ in range(rnd.randint(3, 8))) for _ in range(4000)]
+    common = words[:60]
+    prose = lambda n: " ".join(rnd.choice(common if rnd.random() < 0.4 else words) for _ in range(n))
+    long = {10**6 + i: prose(size - 20) + ". " + prose(20) + "." for i in range(3)}
+    items = spark.read.parquet(f"{sf}/benchmark.parquet")
+    short = items.orderBy("item_id").first()
+    held = [(i, prose(700) + " " + t + " " + prose(900)) for i, t in long.items()] + [(1, prose(300) + " " + short.text + " " + prose(300))]
+    others = [(2, prose(2500)), (3, " ".join(t[: len(t) // 5] for t in long.values())), (4, " ".join(sorted(long[10**6].split())))]
+    docs = spark.createDataFrame(held + others, "doc_id long, text string")
+    items = items.union(spark.createDataFrame(list(long.items()), items.schema))
+    assert {(r.doc_id, r.item_id) for r in decontaminate.matches(docs, items).collect()} == {(i, i) for i in long} | {(1, short.item_id)}
+    assert {r.doc_id for r in decontaminate.clean(docs, items).collect()} == {2, 3, 4}
+
+
 # 8
 
 
