@@ -25,12 +25,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate component, the one with the smallest id; rows repeated with their id count as one."""
-    rows = minhash_dedup.linked(docs)
-    kept = rows.filter("kept").groupBy(F.col("doc_id").alias("__kept")).agg(F.count(F.lit(1)).alias("__n"))
-    left = docs.join(kept.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(F.col("__kept")))
-    once = left.filter("__n = 1").select(*docs.columns)
-    return once.unionByName(left.filter("__n > 1").select(*docs.columns).dropDuplicates(["doc_id"]))
+    """One document of each near-duplicate component, the one with the smallest id, then text hash; rows equal in id and text count as one."""
+    return minhash_dedup.one_of_each(docs)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -35,14 +35,15 @@ LEADERS, ROUNDS = 4, 1
 FEW, ORDER = 8, 1 << 20
 
 
-def signatures(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5) -> DataFrame:
-    """(key, n, node, bands, sketch) for each row: set size, class of equal sets, band keys, low bytes of the sketch."""
-    schema = f"{key} {df.schema[key].dataType.simpleString()}, n long, node long, bands array<long>, sketch binary"
+def signatures(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, also: tuple[str, ...] = ()) -> DataFrame:
+    """(key, also..., n, node, bands, sketch) for each row: set size, class of equal sets, band keys, low bytes of the sketch."""
+    own = [key, *also]
+    schema = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in own) + ", n long, node long, bands array<long>, sketch binary"
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         n, nodes, bands, sketches = [], [], [], []
         place = np.arange(BINS // ROWS, dtype=np.uint64)
-        for text in batch.column(1).to_pylist():
+        for text in batch.column(len(own)).to_pylist():
             h = S.shingles(text, size)
             n.append(len(h))
             if len(h):
@@ -57,9 +58,9 @@ def signatures(df: DataFrame, key: str = "doc_id", text: str = "text", size: int
                 nodes.append(None)
                 bands.append(None)
                 sketches.append(None)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], names=[key, "n", "node", "bands", "sketch"])
+        return pa.RecordBatch.from_arrays([*batch.columns[: len(own)], pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], names=[*own, "n", "node", "bands", "sketch"])
 
-    return over_text(df.select(key, text_column(text).alias("__text")), step, schema, "__text")
+    return over_text(df.select(*own, text_column(text).alias("__text")), step, schema, "__text")
 
 
 def _sets(df: DataFrame, text: str, size: int) -> DataFrame:
@@ -173,10 +174,10 @@ def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
     return staged(sets.select("node", "component", "members").mapInArrow(run, "token long, node long, component long, n long, place long"), "prefixes")
 
 
-def linked(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 75) -> DataFrame:
-    """(key, n_shingles, component_id, kept) for each row of `df`."""
-    given = df.select(F.col(key), text_column(text).alias("__text"))
-    signed = staged(signatures(given, key, "__text", size), "signatures")
+def _labelled(df: DataFrame, key: str, text: str, size: int, percent: int, also: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """The rows' signatures, with the columns `also`, and (node, component) of the classes that link with others."""
+    given = df.select(F.col(key), *also, text_column(text).alias("__text"))
+    signed = staged(signatures(given, key, "__text", size, also), "signatures")
     banded = signed.filter(F.col("node").isNotNull()).select("node", F.explode("bands").alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high")
     rows = staged(banded.join(shared, "bucket").select("bucket", "node", "low", "high").distinct(), "buckets")
@@ -215,10 +216,33 @@ def linked(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5
         merged = components(ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).filter("a != b").distinct())
         old = label.select("node", F.col("component").alias("c")).union(new.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(label, "node", "left_anti").select("node", F.col("node").alias("c")))
         label = staged(old.join(merged.select(F.col("node").alias("c"), "component"), "c", "left").select("node", F.coalesce("component", "c").alias("component")), "components")
+    return signed, label
+
 
+def linked(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 75) -> DataFrame:
+    """(key, n_shingles, component_id, kept) for each row of `df`."""
+    signed, label = _labelled(df, key, text, size, percent)
+    held = signed.filter(F.col("node").isNotNull())
     named = held.select("node", key).join(label, "node", "left").select(key, "node", F.coalesce("component", "node").alias("component"))
     least = named.groupBy("component").agg(F.min(key).alias("component_id"))
     classes = named.groupBy("node", "component").agg(F.lit(1).alias("one")).join(least, "component").select("node", "component_id")
     out = signed.select(key, F.col("n").alias("n_shingles"), "node").join(classes, "node", "left")
     component = F.when(F.col("node").isNull(), F.col(key)).otherwise(F.col("component_id"))
     return out.select(key, "n_shingles", component.alias("component_id"), F.col(key).eqNullSafe(component).alias("kept"))
+
+
+def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 75) -> DataFrame:
+    """The rows of `df` without near duplicates: of each component one with the smallest id (null only where all are), then text hash.
+
+    Rows without shingles are components of their own; rows equal in id and text count as one.
+    """
+    columns = df.columns
+    hashed = df.withColumn("__hash", F.xxhash64(text_column(text)))
+    signed, label = _labelled(hashed, key, text, size, percent, ("__hash",))
+    texts = signed.groupBy(F.col(key).alias("__id"), F.col("__hash").alias("__own"), "node").agg(F.count(F.lit(1)).alias("__n"))
+    named = texts.filter(F.col("node").isNotNull()).join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    first = named.groupBy("component").agg(F.min(F.struct(F.col("__id").isNull().alias("none"), "__id", "__own", "__n")).alias("first"))
+    kept = first.select("first.__id", "first.__own", "first.__n").union(texts.filter(F.col("node").isNull()).select("__id", "__own", "__n"))
+    left = hashed.join(kept.hint("shuffle_hash"), hashed[key].eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__own")))
+    repeated = left.filter("__n > 1").groupBy(key, "__hash").agg(F.min_by(F.struct(*columns), F.xxhash64(*columns)).alias("row"))
+    return left.filter("__n = 1").select(*columns).unionByName(repeated.select("row.*"))

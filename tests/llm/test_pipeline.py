@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as P
 from fieldglass.llm import shingles
@@ -52,3 +53,19 @@ def test_run_gives_the_last_stage_and_small_tables_pass(spark, sf, stages, tmp_p
         for _, stage in P.STAGES:
             out = stage(spark, out, sf)
         assert out.count() == (4 if rows is docs else 0)
+
+
+def test_documents_of_one_id_or_none_are_kept_by_their_texts(spark, sf):
+    rnd = np.random.default_rng(1)
+    text = [" ".join(f"w{x}" for x in rnd.integers(0, 5000, 80)) for _ in range(8)]
+    near = text[0] + " end"
+    rows = [(None, text[0]), (None, near), (None, text[1]), (None, text[1]), (None, text[2]), (None, ""), (None, " "), (7, text[3]), (7, text[4]), (7, text[4]), (None, text[5]), (9, text[5]), (8, text[5] + " end"), (5, text[6]), (5, text[6] + " end"), (6, ""), (6, None), (6, " ")]
+    docs = spark.createDataFrame([(i, t, "en", f"s{k}", 0) for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [sorted(((r.doc_id, r.text or "", r.source) for r in P.drop_near_duplicates(spark, d, sf).collect()), key=repr) for d in (docs, docs.orderBy(F.desc("source")).repartition(3))]
+    assert got[0] == got[1]
+    kept = [(i, t) for i, t, _ in got[0]]
+    assert len(set(kept)) == len(kept)
+    one = [k for k in kept if k[1] in (text[0], near)]
+    two = [k for k in kept if k[1].startswith(text[6])]
+    assert len(one) == 1 and one[0][0] is None and len(two) == 1
+    assert set(kept) - {*one, *two} == {(None, text[1]), (None, text[2]), (None, ""), (None, " "), (7, text[3]), (7, text[4]), (8, text[5] + " end"), (6, ""), (6, " ")}
