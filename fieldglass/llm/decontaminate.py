@@ -11,7 +11,7 @@ answer must be there.
 The index is sent to all executors. Its size is checked first: items are dealt into shards of at most SHARD_BYTES of text,
 each with the statistics of all items, and with more than one shard the documents are searched once for each.
 
-The result has one row per confirmed document and item, the best passage's. A null or empty text, or a document without
+The result has one row per confirmed document and item, the best confirmed passage's. A null or empty text, or a document without
 words of any item, gives no row; a null item text or item without words is never found. Repeated rows of documents
 give repeated results; items that share an id are one, the larger text. An empty table on either side gives no rows.
 """
@@ -67,22 +67,21 @@ def found_in(index: bm25.ItemIndex, numbers: _Numbers, text: str, threshold: flo
     if not words or not index.ids:
         return []
     coded = np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))
-    best: dict[int, tuple[float, int, int]] = {}  # by piece
+    hits: dict[int, list[tuple[float, int, int, int]]] = {}  # by item
     unknown = len(index.items)
     for s, e in passages(index, coded, threshold):
         for piece, score in index.search([t for t in np.unique(coded[s:e]).tolist() if t != unknown], threshold):
-            if piece not in best or score > best[piece][0]:
-                best[piece] = (score, s, e)
-    out: dict[int, tuple] = {}
-    for piece, (score, s, e) in sorted(best.items()):
-        item, before, after = index.pieces[piece]
-        if item in out and out[item][1] >= score:
-            continue
-        around = bm25.terms(" ".join(words[max(0, s - (e - s) - before) : e + (e - s) + after]))
-        question, answer = (bm25.overlap(p, around) for p in index.parts[item])
-        if question >= QUESTION and answer >= ANSWER or question >= WHOLE_QUESTION:
-            out[item] = (index.ids[item], score, question, answer, s)
-    return list(out.values())
+            hits.setdefault(index.pieces[piece][0], []).append((-score, s, e, piece))
+    out = []
+    for item in sorted(hits):
+        for score, s, e, piece in sorted(hits[item]):  # the best of those confirmed, the first of equals
+            _, before, after = index.pieces[piece]
+            around = bm25.terms(" ".join(words[max(0, s - (e - s) - before) : e + (e - s) + after]))
+            question, answer = (bm25.overlap(p, around) for p in index.parts[item])
+            if question >= QUESTION and answer >= ANSWER or question >= WHOLE_QUESTION:
+                out.append((index.ids[item], -score, question, answer, s))
+                break
+    return out
 
 
 def _shards(items: DataFrame, key: str, text: str) -> Iterator[bm25.ItemIndex]:

@@ -278,6 +278,16 @@ def test_long_items_are_found(spark, sf, size):
     assert {r.doc_id for r in decontaminate.clean(docs, items).collect()} == {2, 3, 4}
 
 
+def test_a_copy_behind_a_shuffled_one_is_found(spark):
+    rnd = random.Random(3)
+    item = [f"q{i}" for i in range(40)]
+    text, mixed, filler = " ".join(item), " ".join(rnd.sample(item, 40)), " other" * 600
+    docs = spark.createDataFrame([(1, mixed + filler + " " + text), (2, mixed + filler), (3, text + filler + " " + mixed)], "doc_id long, text string")
+    items = spark.createDataFrame([(5, text), (6, "quite another item")], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.matches(docs, items).collect()} == {(1, 5), (3, 5)}
+    assert [r.doc_id for r in decontaminate.clean(docs, items).collect()] == [2]
+
+
 # 8
 
 
