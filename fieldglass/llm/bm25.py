@@ -49,13 +49,15 @@ class ItemIndex:
 
     An item of up to PIECE words is one piece, a longer one several of about equal length. A passage's score for a piece
     is its BM25 score over the score of the piece's own text, so one threshold serves items of every length. `pieces` has
-    each piece's item, and how many of the item's words are before and after it. `document_frequency`, `items` and `mean_length` are of the whole item table.
+    each piece's item, and how many of the item's words are before and after it. `texts` are texts by id, or (id, text)
+    pairs where ids may be null or repeated. `document_frequency`, `items` and `mean_length` are of the whole item table.
     """
 
-    def __init__(self, texts: dict, document_frequency: dict[str, int] | None = None, items: int | None = None, mean_length: float | None = None):
-        self.ids = sorted(texts)
-        tokens = [terms(texts[i]) for i in self.ids]
-        self.parts = [question_and_answer(texts[i]) for i in self.ids]
+    def __init__(self, texts: dict | list[tuple], document_frequency: dict[str, int] | None = None, items: int | None = None, mean_length: float | None = None):
+        given = sorted(texts.items() if isinstance(texts, dict) else texts, key=lambda p: (p[0] is None, *p))
+        self.ids = [i for i, _ in given]
+        tokens = [terms(t) for _, t in given]
+        self.parts = [question_and_answer(t) for _, t in given]
         df = document_frequency or Counter(t for ts in tokens for t in set(ts))
         n = items or max(1, len(tokens))
         mean = mean_length or sum(map(len, tokens)) / n or 1.0
@@ -63,8 +65,8 @@ class ItemIndex:
         lists: list[list[tuple[int, float]]] = []
         self.pieces: list[tuple[int, int, int]] = []
         self.longest, own = 0, []
-        for item, (key, ts) in enumerate(zip(self.ids, tokens, strict=True)):
-            words = texts[key].split()
+        for item, ((_, text), ts) in enumerate(zip(given, tokens, strict=True)):
+            words = text.split()
             count = -(-len(words) // PIECE)
             if count <= 1:
                 self.pieces.append((item, 0, 0))

@@ -11,9 +11,9 @@ answer must be there.
 The index is sent to all executors. Its size is checked first: items are dealt into shards of at most SHARD_BYTES of text,
 each with the statistics of all items, and with more than one shard the documents are searched once for each.
 
-The result has one row per confirmed document and item, the best confirmed passage's. A null or empty text, or a document without
+The result has one row per confirmed document and item, the best confirmed passage's; an item is a distinct id and text. A null or empty text, or a document without
 words of any item, gives no row; a null item text or item without words is never found. Repeated rows of documents
-give repeated results; items that share an id are one, the larger text. An empty table on either side gives no rows.
+give repeated results; items that share an id, or have none, are found by each of their texts. An empty table on either side gives no rows.
 """
 
 from __future__ import annotations
@@ -86,20 +86,20 @@ def found_in(index: bm25.ItemIndex, numbers: _Numbers, text: str, threshold: flo
 
 def _shards(items: DataFrame, key: str, text: str) -> Iterator[bm25.ItemIndex]:
     """Indexes over all items, each of a bounded size."""
-    given = items.filter(F.col(key).isNotNull()).groupBy(key).agg(F.max(text_column(text)).alias("__text"))
+    given = items.select(key, text_column(text).alias("__text")).distinct()
     size, count = given.agg(F.sum(F.octet_length("__text")), F.count(F.lit(1))).first()
     shards = -(-(size or 0) // SHARD_BYTES)
     if shards <= 1:
-        yield bm25.ItemIndex(dict(given.collect()))
+        yield bm25.ItemIndex([tuple(r) for r in given.collect()])
         return
     split = F.udf(bm25.terms, "array<string>")
     tokens = given.select(key, "__text", split("__text").alias("terms"))
     mean = tokens.agg(F.avg(F.size("terms"))).first()[0]
     frequency = tokens.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     for k in range(shards):
-        own = given.filter(F.pmod(F.xxhash64(key), F.lit(shards)) == k)
+        own = given.filter(F.pmod(F.xxhash64(key, "__text"), F.lit(shards)) == k)
         wanted = own.select(F.explode(F.array_distinct(split("__text"))).alias("term")).distinct()
-        yield bm25.ItemIndex(dict(own.collect()), dict(frequency.join(wanted, "term", "left_semi").collect()), count, mean)
+        yield bm25.ItemIndex([tuple(r) for r in own.collect()], dict(frequency.join(wanted, "term", "left_semi").collect()), count, mean)
 
 
 def matches(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, key: str = "doc_id", text: str = "text", item: str = "item_id") -> DataFrame:

@@ -288,6 +288,16 @@ def test_a_copy_behind_a_shuffled_one_is_found(spark):
     assert [r.doc_id for r in decontaminate.clean(docs, items).collect()] == [2]
 
 
+def test_items_without_an_id_or_with_a_shared_one_are_found(spark, monkeypatch):
+    texts = [" ".join(f"{c}{i}" for i in range(30)) for c in "abcd"]
+    items = spark.createDataFrame([(1, texts[0]), (1, texts[1]), (1, texts[1]), (None, texts[2]), (None, texts[3]), (None, None)], "item_id long, text string")
+    docs = spark.createDataFrame([(k, "before it " + t + " after it") for k, t in enumerate([*texts, "nothing"])], "doc_id long, text string")
+    for size in (decontaminate.SHARD_BYTES, 150):
+        monkeypatch.setattr(decontaminate, "SHARD_BYTES", size)
+        assert rows_of(decontaminate.matches(docs, items).select("doc_id", "item_id")) == [(0, 1), (1, 1), (2, None), (3, None)]
+        assert [r.doc_id for r in decontaminate.clean(docs, items).collect()] == [4]
+
+
 # 8
 
 
