@@ -2,7 +2,7 @@
 
 Each level is a monotone sequence kept as packed low bits and a unary bit vector of high bits, so a level is a few flat
 arrays that can be memory-mapped from a file and searched in place. A context's rank comes from a search among
-contexts; its successors are searched relative to it, within the range that the context's pointers give.
+contexts; pairs are one list of rank and successor, which is searched as a whole: no pointers to ranges are kept.
 """
 
 from __future__ import annotations
