@@ -1,8 +1,8 @@
 """Naive Bayes support vectors: n-gram indicators scaled by class log-count ratios, then a linear hinge-loss model.
 
 Features are hashed n-gram indicators in a fixed number of buckets. The log-count ratio of a bucket compares how many
-documents of each class have it; indicators times ratios feed a linear model fitted by dual coordinate descent, whose
-weights are interpolated with their mean magnitude as usual for this model. Margins become probabilities by a logistic
+documents of each class have it; indicators times ratios feed a linear model fitted by dual coordinate descent. Its
+weights are taken as they are, not interpolated with their mean magnitude. Margins become probabilities by a logistic
 curve fitted on margins of rows that the curve's own model did not see, weighted to the classes' true shares.
 """
 
@@ -166,14 +166,13 @@ def _logistic(margins: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> t
     return float(theta[0]), float(theta[1])
 
 
-def fit(rows: Sequence[np.ndarray], labels: np.ndarray, share: float, bits: int = BITS, cost: float = 1.0, beta: float = 1.0, folds: int = 4) -> Model:
+def fit(rows: Sequence[np.ndarray], labels: np.ndarray, share: float, bits: int = BITS, cost: float = 1.0, folds: int = 4) -> Model:
     """Fits a model to rows of buckets and labels of +1 and -1; `share` is the true share of +1."""
 
     def one(rows: Sequence[np.ndarray], labels: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
         ratio = ratios(rows, labels, bits)
         w, b = dual_descent(rows, labels, ratio, cost)
-        w = (1 - beta) * np.abs(w).mean() + beta * w
-        return (w * ratio).astype(np.float32), ratio.astype(np.float32), b * beta
+        return (w * ratio).astype(np.float32), ratio.astype(np.float32), b
 
     labels = np.asarray(labels)
     if len(set(np.sign(labels).tolist())) < 2:  # one class or no rows: its share for every text

@@ -1,6 +1,7 @@
 """The operators against brute force on small tables, with nulls, empty and long texts, ties, repeats and extra columns."""
 
 import hashlib
+import inspect
 import math
 import random
 import zlib
@@ -215,6 +216,17 @@ def test_classifiers_on_held_out_rows(spark):
         assert sum(a == b for a, b in held) / len(held) > least
 
 
+def test_weights_are_those_of_the_descent():
+    rnd = np.random.default_rng(4)
+    labels = np.where(rnd.random(60) < 0.5, 1, -1)
+    rows = [np.unique(rnd.integers(0, 500, 30) + (y > 0) * 200).astype(np.int32) for y in labels]
+    ratio = nbsvm.ratios(rows, labels)
+    w, b = nbsvm.dual_descent(rows, labels, ratio, 1.0)
+    model = nbsvm.fit(rows, labels, 0.5)
+    assert (model.weights == (w * ratio).astype(np.float32)).all() and model.bias == b
+    assert "beta" not in inspect.signature(nbsvm.fit).parameters  # no step that never runs
+
+
 def test_classifier_edge_cases(spark, edge, empty):
     labels = spark.createDataFrame([(0, 1, 0), (1, 1, None), (2, 0, 1), (2, 1, 1), (None, 0, 1), (777, 0, 0)], "doc_id long, quality int, toxic int")
     for label, features in (("quality", nbsvm.word_features), ("toxic", nbsvm.char_features)):
