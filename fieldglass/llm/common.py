@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import gc
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -13,32 +13,59 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text handed to one vectorised step, in bytes; longer documents form a chunk of their own.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
+
+
+#: Spark's setting that deletes shuffle files as soon as the execution that wrote them ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Where it is unset, one of our own on a single machine; a cluster without it is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.conf.get("spark.fieldglass.checkpoint.dir", None)
         if not root:
+            if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             root = "file://" + tempfile.mkdtemp(prefix="fieldglass-")
             spark.conf.set("spark.fieldglass.checkpoint.dir", root)
     return f"{root.rstrip('/')}/fieldglass/{spark.sparkContext.applicationId}"
 
 
-def release(spark: SparkSession) -> None:
-    """Lets executors delete shuffle files of finished jobs: they stay until the driver drops its handles on them."""
-    gc.collect()
-    spark._jvm.System.gc()
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Writes a table to the shared folder and reads it back: lineage ends there, and lost executors lose nothing.
 
+    The shuffle files of the write go when it ends, as nothing reads them again.
+    """
+    spark = df.sparkSession
+    path, before = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Writes a table to the shared folder and reads it back: lineage ends there, and lost executors lose nothing."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    release(df.sparkSession)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+def tidied(step: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function for mapInArrow that gives freed memory back when its task ends: Python workers live on between tasks."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from step(batches)
+        finally:
+            give_back()
+
+    return run
+
+
+def give_back() -> None:
+    """Returns freed memory to the system, from Arrow's pool and where there is one from glibc's."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def discard(df: DataFrame) -> None:
@@ -49,11 +76,24 @@ def discard(df: DataFrame) -> None:
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def hidden(df: DataFrame) -> str:
+    """A prefix for helper columns that no column of `df` begins with."""
+    prefix = "__"
+    while any(c.lower().startswith(prefix) for c in df.columns):
+        prefix += "_"
+    return prefix
+
+
 def text_column(name: str = "text") -> Column:
     """A text column with null read as empty."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def texts_of(batch: pa.RecordBatch, text: str) -> list[str]:
+    """The texts of a batch, null read as empty."""
+    return batch.column(batch.schema.get_field_index(text)).cast(pa.string()).fill_null("").to_pylist()
+
+
 def id_remainder(name: str, modulus: int) -> Column:
     """crc32 of an id written as decimal text, modulo `modulus`; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(name).cast("string"), F.lit(""))) % modulus
@@ -63,6 +103,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan of fewer partitions than there are cores, dealt out over all of them: a file of one row group is one task otherwise."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
@@ -93,4 +139,4 @@ def over_text(df: DataFrame, step: Callable[[pa.RecordBatch], pa.RecordBatch], s
         for chunk in chunks(batches, text, limit):
             yield step(chunk)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidied(run), schema)

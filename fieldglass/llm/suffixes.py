@@ -13,50 +13,85 @@ SEGMENT = 1 << 22
 
 
 def _ranked(key: np.ndarray) -> np.ndarray:
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     ordered = key[order]
-    out = np.empty(len(key), np.int64)
-    out[order] = np.cumsum(np.concatenate([[False], ordered[1:] != ordered[:-1]]))
+    out = np.empty(len(key), np.int32)
+    out[order] = np.cumsum(np.concatenate([[False], ordered[1:] != ordered[:-1]]), dtype=np.int32)
     return out
 
 
-def prefix_ranks(data: np.ndarray, width: int) -> np.ndarray:
-    """The rank of each suffix of `data` by its first `width` bytes (a power of two times 8, or any larger width).
+def prefix_ranks(data: np.ndarray, width: int) -> list[tuple[int, np.ndarray]]:
+    """(length, the rank of each suffix of `data` by its first `length` bytes) for 8, 16, 32, ... and at last `width` bytes.
 
     Prefix doubling: ranks by 8 bytes come from big-endian words, ranks by twice the length from pairs of ranks.
-    Places nearer to the end than `width` are ranked as if zero bytes followed.
+    Places nearer to the end than the length are ranked as if zero bytes followed.
     """
     n = len(data)
-    padded = np.concatenate([data, np.zeros(8, np.uint8)]).astype(_U)
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
     word = np.zeros(n, _U)
     for i in range(8):
-        word = (word << _U(8)) | padded[i : i + n]
+        word <<= _U(8)
+        word |= padded[i : i + n]
     rank, have = _ranked(word), 8
+    del word
+    out = [(have, rank)]
     while have < width:
         step = min(have, width - have)
-        after = np.zeros(n, np.int64)
+        pair = rank * np.int64(n + 1)
         if step < n:
-            after[: n - step] = rank[step:]
-        rank = _ranked(rank * (n + 1) + after)
+            pair[: n - step] += rank[step:]
+        rank = _ranked(pair)
         have += step
-    return rank
+        out.append((have, rank))
+    return out
+
+
+def previous_smaller(values: np.ndarray) -> np.ndarray:
+    """For each place of `values` (all different) the nearest place before it with a smaller value, or -1; all places look at once, each through what others have found."""
+    found = np.arange(-1, len(values) - 1)
+    live = np.flatnonzero(found >= 0)
+    while len(live):
+        live = live[values[found[live]] > values[live]]
+        found[live] = found[found[live]]
+        live = live[found[live] >= 0]
+    return found
+
+
+def _common(levels: list[tuple[int, np.ndarray]], one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """The common prefix of the suffixes at `one` and at `two`, up to the last level's length; under that in steps of 8 bytes."""
+    width, whole = levels[-1]
+    equal = whole[one] == whole[two]
+    out = np.where(equal, width, 0)
+    rest = np.flatnonzero(~equal)
+    one, two = one[rest], two[rest]
+    have = np.zeros(len(rest), np.int64)
+    for length, rank in reversed(levels[:-1]):
+        last = len(rank) - 1
+        a, b = one + have, two + have
+        have += np.where((np.maximum(a, b) <= last) & (rank[np.minimum(a, last)] == rank[np.minimum(b, last)]) & (have + length < width), length, 0)
+    out[rest] = have
+    return out
 
 
-def earlier_factor(data: np.ndarray, starts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each place in `starts` (ascending): is its longest previous factor `width` bytes or more, and does its string occur again at all?
+def previous_factors(data: np.ndarray, starts: np.ndarray, width: int, both: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """(LPF, LNF, all 0 without `both`) for each place in `starts` (ascending): the longest prefix of its suffix that also starts at an earlier, or later, place in `starts`, up to `width`.
 
-    In suffix order with equal prefixes by place, the previous smaller place of every suffix but the first of a run
-    of equal `width`-byte prefixes is its neighbour in that run; the next smaller place can't match longer. So the
-    longest-previous-factor array, cut at `width`, follows from runs alone. Only places in `starts` count.
+    In suffix order the longest match before a place begins at the previous or at the next smaller place (Crochemore and
+    Ilie, 2008), and the longest match after it at the previous or next greater one. Suffixes equal in `width` bytes are
+    in the order of their places, so the smaller neighbour of one is before it and the greater one after it. Lengths
+    under `width` are in steps of 8 bytes.
     """
-    rank = prefix_ranks(data, width)[starts]
-    order = np.argsort(rank, kind="stable")
-    same = np.zeros(len(starts) + 1, bool)
-    same[1:-1] = rank[order][1:] == rank[order][:-1]
-    earlier, again = np.empty(len(starts), bool), np.empty(len(starts), bool)
-    earlier[order] = same[:-1]
-    again[order] = same[:-1] | same[1:]
-    return earlier, again
+    levels = prefix_ranks(data, width)
+    m = len(starts)
+    order = np.argsort(levels[-1][1][starts].astype(np.int64) * m + np.arange(m))
+    out = [np.zeros(m, np.int64), np.zeros(m, np.int64)]
+    for best, place in zip(out, (order, m - 1 - order) if both else (order,)):  # by place, and by place from the end
+        for before in (True, False):
+            near = previous_smaller(place if before else place[::-1])
+            has = np.flatnonzero(near >= 0)
+            i, j = (has, near[has]) if before else (m - 1 - has, m - 1 - near[has])
+            best[order[i]] = np.maximum(best[order[i]], _common(levels, starts[order[i]], starts[order[j]]))
+    return out[0], out[1]
 
 
 def anchors(data: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
