@@ -1,20 +1,22 @@
-"""An n-gram trie of two levels in Elias-Fano form: contexts, and the successors of each, with quantised probabilities.
+"""The levels of an n-gram model as flat arrays that are mapped from a file and searched in place.
 
-Each level is a monotone sequence kept as packed low bits and a unary bit vector of high bits, so a level is a few flat
-arrays that can be memory-mapped from a file and searched in place. A context's rank comes from a search among
-contexts; pairs are one list of rank and successor, which is searched as a whole: no pointers to ranges are kept.
+`Words` is the level of single words: an Elias-Fano sequence of word hashes with a count each. `Trie` has the levels of
+pairs: an Elias-Fano sequence of the contexts' numbers; monotone pointers, in Elias-Fano form as well, from each context
+to where its successors begin; the successors of all contexts, made one rising sequence by adding to each context's own
+what the sequence before it ended with; and a quantised probability for each pair. A pair is found by its context's rank,
+the two pointers there, and a search for the successor relative to the context within that range.
 """
 
 from __future__ import annotations
 
 import mmap
-from pathlib import Path
+import tempfile
 
 import numpy as np
 
 _U = np.uint64
-#: Bits of a context, and of a successor within its context; quantisation steps per power of ten.
-CONTEXT_BITS, SUCCESSOR_BITS, STEPS = 48, 40, 25
+#: Quantisation steps per power of ten.
+STEPS = 25
 
 
 def quantised(log10p: np.ndarray) -> np.ndarray:
@@ -27,18 +29,18 @@ def restored(codes: np.ndarray) -> np.ndarray:
 
 
 class EliasFano:
-    """A monotone sequence of numbers below `universe`; duplicates are allowed."""
+    """A rising sequence of numbers below `universe`; each has its low bits packed and its high bits in a unary bit vector."""
 
     def __init__(self, n: int, low_bits: int, lows: np.ndarray, highs: np.ndarray):
         self.n, self.low_bits, self.lows, self.highs = n, low_bits, lows, highs
-        zeros = 64 - np.bitwise_count(highs).astype(np.int64)
-        self.zeros_before = np.concatenate([[0], np.cumsum(zeros)])
+        ones = np.bitwise_count(highs).astype(np.int64)
+        self.before = [np.concatenate([[0], np.cumsum(64 - ones)]), np.concatenate([[0], np.cumsum(ones)])]  # zeros and ones before each word
 
     @classmethod
     def build(cls, values: np.ndarray, universe: int) -> EliasFano:
         n = len(values)
-        low_bits = max(0, (max(universe, 1) // max(n, 1)).bit_length() - 1)
-        high = (values >> _U(low_bits)).astype(np.int64) if low_bits < 64 else np.zeros(n, np.int64)
+        low_bits = min(63, max(0, (max(universe, 1) // max(n, 1)).bit_length() - 1))
+        high = (values >> _U(low_bits)).astype(np.int64)
         size = n + (int(universe - 1) >> low_bits) + 2
         bits = np.zeros(-(-size // 64) * 64, np.uint8)
         bits[high + np.arange(n)] = 1
@@ -53,7 +55,7 @@ class EliasFano:
             np.bitwise_or.at(lows, word[over] + 1, low[over] >> (_U(64) - shift[over]))
         return cls(n, low_bits, lows, highs)
 
-    def low(self, i: np.ndarray) -> np.ndarray:
+    def _low(self, i: np.ndarray) -> np.ndarray:
         if not self.low_bits:
             return np.zeros(len(i), _U)
         at = i * self.low_bits
@@ -61,93 +63,154 @@ class EliasFano:
         rest = (self.lows[word + 1] << ((_U(64) - shift) & _U(63))) * (shift > _U(0))
         return ((self.lows[word] >> shift) | rest) & _U((1 << self.low_bits) - 1)
 
-    def _zero(self, k: np.ndarray) -> np.ndarray:
-        """The place of the k-th zero (from 0) in the unary bits."""
-        word = np.searchsorted(self.zeros_before, k, side="right") - 1
+    def _select(self, bit: int, k: np.ndarray) -> np.ndarray:
+        """The place of the k-th bit of that kind (from 0) in the unary bits."""
+        before = self.before[bit]
+        word = np.searchsorted(before, k, side="right") - 1
         out = np.empty(len(k), np.int64)
         for s in range(0, len(k), 1 << 14):
             w = word[s : s + (1 << 14)]
             bits = np.unpackbits(self.highs[w].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            nth = np.cumsum(bits == 0, axis=1, dtype=np.uint8)
-            out[s : s + (1 << 14)] = w * 64 + (nth == (k[s : s + (1 << 14)] - self.zeros_before[w] + 1)[:, None]).argmax(axis=1)
+            nth = np.cumsum(bits == bit, axis=1, dtype=np.uint8)
+            out[s : s + (1 << 14)] = w * 64 + (nth == (k[s : s + (1 << 14)] - before[w] + 1)[:, None]).argmax(axis=1)
         return out
 
-    def lower(self, x: np.ndarray) -> np.ndarray:
-        """For each x the number of values below it: the place of its successor (the first value of x or more)."""
-        if not len(x):
-            return np.zeros(0, np.int64)
-        high = (x >> _U(self.low_bits)).astype(np.int64)
-        begin = np.where(high > 0, self._zero(np.maximum(high - 1, 0)) - high + 1, 0)
-        end = self._zero(high) - high
-        want = x & _U((1 << self.low_bits) - 1)
-        while (live := begin < end).any():  # binary search among the values with that high part
-            i = np.flatnonzero(live)
-            mid = (begin[i] + end[i]) >> 1
-            less = self.low(mid) < want[i]
-            begin[i[less]], end[i[~less]] = mid[less] + 1, mid[~less]
-        return begin
+    def get(self, i: np.ndarray) -> np.ndarray:
+        """The values at places i."""
+        if not len(i):
+            return np.zeros(0, _U)
+        return ((self._select(1, i) - i).astype(_U) << _U(self.low_bits)) | self._low(i)
 
-    def has(self, x: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Is the value at place `at` (as `lower` gave it) equal to x?"""
-        return self.lower(x + _U(1)) > at
+    def find(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place, found): for each x below the universe the place of its successor (the first value of x or more, or n), and whether that is x."""
+        if not len(x) or not self.n:
+            return np.zeros(len(x), np.int64), np.zeros(len(x), bool)
+        high = (x >> _U(self.low_bits)).astype(np.int64)
+        begin = np.where(high > 0, self._select(0, np.maximum(high - 1, 0)) - high + 1, 0)
+        end = self._select(0, high) - high
+        last, want = end.copy(), x & _U((1 << self.low_bits) - 1)
+        while len(live := np.flatnonzero(begin < end)):  # binary search among the values with that high part
+            mid = (begin[live] + end[live]) >> 1
+            less = self._low(mid) < want[live]
+            begin[live[less]], end[live[~less]] = mid[less] + 1, mid[~less]
+        found = begin < last
+        found[found] = self._low(begin[found]) == want[found]
+        return begin, found
 
 
-class Trie:
-    """Contexts, their successors, and a code per pair; the arrays may be views of a mapped file."""
+class _Levels:
+    """Named flat arrays, to and from bytes; as read they are views of the buffer."""
 
-    FIELDS = ("meta", "context_low", "context_high", "pair_low", "pair_high", "codes")
+    KINDS: dict[str, type] = {}
 
     def __init__(self, arrays: dict[str, np.ndarray]):
         self.arrays = arrays
-        n_contexts, context_bits, n_pairs, pair_bits = (int(x) for x in arrays["meta"])
-        self.contexts = EliasFano(n_contexts, context_bits, arrays["context_low"], arrays["context_high"])
-        self.pairs = EliasFano(n_pairs, pair_bits, arrays["pair_low"], arrays["pair_high"])
+
+    def _sequence(self, name: str) -> EliasFano:
+        n, low_bits = self.arrays[f"{name}_shape"].tolist()
+        return EliasFano(n, low_bits, self.arrays[f"{name}_low"], self.arrays[f"{name}_high"])
+
+    @staticmethod
+    def _parts(name: str, sequence: EliasFano) -> dict[str, np.ndarray]:
+        return {f"{name}_shape": np.array([sequence.n, sequence.low_bits], np.int64), f"{name}_low": sequence.lows, f"{name}_high": sequence.highs}
+
+    def to_bytes(self) -> bytes:
+        parts = [np.ascontiguousarray(self.arrays[f], k) for f, k in self.KINDS.items()]
+        sizes = np.array([p.nbytes for p in parts], np.int64)
+        return b"".join([sizes.tobytes(), *(p.tobytes() + bytes(-p.nbytes % 8) for p in parts)])
+
+    @classmethod
+    def of_buffer(cls, buffer):
+        sizes = np.frombuffer(buffer, np.int64, len(cls.KINDS))
+        arrays, at = {}, sizes.nbytes
+        for (f, kind), n in zip(cls.KINDS.items(), sizes.tolist(), strict=True):
+            arrays[f] = np.frombuffer(buffer, kind, n // np.dtype(kind).itemsize, at)
+            at += n + -n % 8
+        return cls(arrays)
+
+    @classmethod
+    def mapped(cls, body: bytes):
+        """The levels in a file of this process that is mapped and goes with it: a copy of what the shared folder holds."""
+        with tempfile.TemporaryFile() as f:
+            f.write(body)
+            f.flush()
+            return cls.of_buffer(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
+
+
+class Words(_Levels):
+    """Word hashes below `universe` and the count of each; a word's number is its rank."""
+
+    KINDS = {"words_shape": np.int64, "words_low": _U, "words_high": _U, "counts": np.int64}
+
+    def __init__(self, arrays: dict[str, np.ndarray]):
+        super().__init__(arrays)
+        self.words, self.counts = self._sequence("words"), arrays["counts"]
+
+    @classmethod
+    def build(cls, hashes: np.ndarray, counts: np.ndarray, universe: int) -> Words:
+        """From sorted distinct hashes."""
+        return cls(cls._parts("words", EliasFano.build(hashes, universe)) | {"counts": counts})
+
+    def search(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(number, count) of each word; -1 and 0 where the level doesn't have it."""
+        at, found = self.words.find(hashes)
+        count = np.zeros(len(hashes), np.int64)
+        count[found] = self.counts[at[found]]
+        return np.where(found, at, -1), count
+
+
+class Trie(_Levels):
+    """Contexts, pointers to the successors of each, successors, and a code per pair."""
+
+    KINDS = {f"{s}_{p}": k for s in ("contexts", "pointers", "successors") for p, k in (("shape", np.int64), ("low", _U), ("high", _U))} | {"codes": np.uint8}
+
+    def __init__(self, arrays: dict[str, np.ndarray]):
+        super().__init__(arrays)
+        self.contexts, self.pointers, self.successors = (self._sequence(s) for s in ("contexts", "pointers", "successors"))
         self.codes = arrays["codes"]
 
     @classmethod
     def build(cls, context: np.ndarray, successor: np.ndarray, codes: np.ndarray) -> Trie:
-        """From pairs sorted by context and successor, without duplicates."""
-        first = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]])) if len(context) else np.zeros(0, np.int64)
-        rank = np.zeros(len(context), np.int64)
-        rank[first[1:]] = 1
-        own = np.cumsum(rank).astype(_U)
-        a = EliasFano.build(context[first], 1 << CONTEXT_BITS)
-        b = EliasFano.build((own << _U(SUCCESSOR_BITS)) | successor, (len(first) + 1) << SUCCESSOR_BITS)
-        return cls({"meta": np.array([a.n, a.low_bits, b.n, b.low_bits], _U), "context_low": a.lows, "context_high": a.highs, "pair_low": b.lows, "pair_high": b.highs, "codes": codes})
+        """From numbers of contexts and successors, sorted, without duplicates."""
+        heads = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]])) if len(context) else np.zeros(0, np.int64)
+        own = context[heads].astype(_U)
+        rising = np.cumsum(rises(successor.astype(np.int64), heads)).astype(_U)
+        top = lambda x: int(x[-1]) + 1 if len(x) else 1
+        parts = cls._parts("contexts", EliasFano.build(own, top(own))) | cls._parts("successors", EliasFano.build(rising, top(rising)))
+        parts |= cls._parts("pointers", EliasFano.build(np.append(heads, len(context)).astype(_U), len(context) + 1))
+        return cls(parts | {"codes": codes})
 
     def search(self, context: np.ndarray, successor: np.ndarray) -> np.ndarray:
         """The code of each pair, 0 where the trie doesn't have it."""
         out = np.zeros(len(context), np.uint8)
-        if not self.pairs.n:
+        if not self.successors.n:
             return out
-        rank = self.contexts.lower(context)
-        ok = np.flatnonzero(self.contexts.has(context, rank))
-        wanted = (rank[ok].astype(_U) << _U(SUCCESSOR_BITS)) | successor[ok]  # relative to the context
-        at = self.pairs.lower(wanted)
-        hit = self.pairs.has(wanted, at)
-        out[ok[hit]] = self.codes[at[hit]]
+        asked, own = np.unique(context, return_inverse=True)
+        inside = asked < self.contexts.get(np.array([self.contexts.n - 1]))[0] + _U(1)
+        rank, known = np.zeros(len(asked), np.int64), np.zeros(len(asked), bool)
+        rank[inside], known[inside] = self.contexts.find(asked[inside].astype(_U))
+        begin, end, base = np.zeros(len(asked), np.int64), np.zeros(len(asked), np.int64), np.zeros(len(asked), _U)
+        begin[known] = self.pointers.get(rank[known]).astype(np.int64)
+        end[known] = self.pointers.get(rank[known] + 1).astype(np.int64)
+        later = known & (begin > 0)
+        base[later] = self.successors.get(begin[later] - 1)
+        top = np.zeros(len(asked), _U)
+        top[known] = self.successors.get(end[known] - 1)
+        wanted = base[own] + successor.astype(_U) + _U(1)
+        ok = np.flatnonzero(known[own] & (wanted <= top[own]))  # what lies beyond the context's last successor isn't its own
+        at, found = self.successors.find(wanted[ok])
+        out[ok[found]] = self.codes[at[found]]
         return out
 
-    def to_bytes(self) -> bytes:
-        sizes = np.array([self.arrays[f].nbytes for f in self.FIELDS], np.int64)
-        body = b"".join(self.arrays[f].tobytes() + bytes(-self.arrays[f].nbytes % 8) for f in self.FIELDS)
-        return sizes.tobytes() + body
 
-    @classmethod
-    def of_buffer(cls, buffer) -> Trie:
-        sizes = np.frombuffer(buffer, np.int64, len(cls.FIELDS))
-        arrays, at = {}, sizes.nbytes
-        for f, n in zip(cls.FIELDS, sizes.tolist(), strict=True):
-            kind = np.uint8 if f == "codes" else _U
-            arrays[f] = np.frombuffer(buffer, kind, n // np.dtype(kind).itemsize, at)
-            at += n + -n % 8
-        return cls(arrays)
+def rises(successor: np.ndarray, heads: np.ndarray) -> np.ndarray:
+    """The steps of the rising sequence of successors (sorted within runs that begin at `heads`): at a head its number and one, else the distance to the one before."""
+    out = np.diff(successor, prepend=0)
+    out[heads] = successor[heads] + 1
+    return out
 
-    def save(self, path: str) -> None:
-        Path(path).write_bytes(self.to_bytes())
 
-    @classmethod
-    def open(cls, path: str) -> Trie:
-        """The trie in a file, memory-mapped."""
-        with Path(path).open("rb") as f:
-            return cls.of_buffer(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
+def of_rises(steps: np.ndarray, heads: np.ndarray, runs: np.ndarray) -> np.ndarray:
+    """The successors that `rises` made steps of; `runs` are the lengths of the runs."""
+    total = np.cumsum(steps)
+    return total - np.repeat(total[heads] - steps[heads], runs) - 1
