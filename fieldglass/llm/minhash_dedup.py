@@ -24,15 +24,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldglass.llm import shingles as S
-from fieldglass.llm.common import over_text, staged, text_column
+from fieldglass.llm.common import over_text, partitions, staged, text_column, tidied
 from fieldglass.llm.components import components
 
 BINS, ROWS = 128, 4
 #: Agreeing coordinates (of BINS, 8 bits each) under which a pair can't reach the threshold, with five sigma to spare.
 SIGMAS = 5.0
 LEADERS, ROUNDS = 4, 1
-#: Buckets with more members outside their largest component are compared by prefixes, not by pairs; cells of the shingle order.
-FEW, ORDER = 8, 1 << 20
+#: Buckets with more members outside their largest component are compared by prefixes, not by pairs; cells of the shingle order, and parts they are summed in.
+FEW, ORDER, PARTS = 8, 1 << 20, 256
 
 
 def signatures(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, also: tuple[str, ...] = ()) -> DataFrame:
@@ -92,7 +92,7 @@ class _Links:
 
         side = {c: self.sketches.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")) for c in "ab"}
         fitting = pairs.join(side["a"], "a").join(side["b"], "b").filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
-        return fitting.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+        return fitting.select("a", "b", "sa", "sb").mapInArrow(tidied(run), "a long, b long")
 
     def confirmed(self, pairs: DataFrame) -> DataFrame:
         one = self.sets.select(F.col("node").alias("a"), F.col("members").alias("ma"))
@@ -136,16 +136,28 @@ def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
     vector of ORDER cells, whatever the data: cells shared by chance make the order less sharp but never lose a pair.
     """
 
-    def counts(batches):
+    def counted(batches):
         total = np.zeros(ORDER, np.int64)
         for batch in batches:
             total += np.bincount(batch.column(0).flatten().to_numpy().view(np.uint64) >> np.uint64(44), minlength=ORDER)
-        cell = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int64()), pa.array(total[cell], pa.int64())], names=["cell", "n"])
+        for part, counts in enumerate(total.reshape(PARTS, -1)):  # one row for each part of the cells, however many cells it has
+            cell = np.flatnonzero(counts)
+            if len(cell):
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([cell.astype(np.int32).tobytes()]), pa.array([counts[cell].tobytes()])], names=["part", "cells", "counts"])
 
-    summed = sets.select("members").mapInArrow(counts, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    frequency = np.zeros(ORDER, np.int64)
-    frequency[summed["cell"].to_numpy()] = summed["n"].to_numpy()
+    def summed(batches):
+        totals: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, cells, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                totals.setdefault(part, np.zeros(ORDER // PARTS, np.int64))[np.frombuffer(cells, np.int32)] += np.frombuffer(counts, np.int64)
+        for part, total in totals.items():
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([total.tobytes()])], names=["part", "counts"])
+
+    parts = sets.select("members").mapInArrow(tidied(counted), "part long, cells binary, counts binary").repartition(partitions(sets.sparkSession), "part")
+    frequency = np.zeros((PARTS, ORDER // PARTS), np.int64)
+    for row in parts.mapInArrow(tidied(summed), "part long, counts binary").collect():  # PARTS rows, 8 MB in all
+        frequency[row["part"]] = np.frombuffer(row["counts"], np.int64)
+    frequency = frequency.ravel()
     shipped = sets.sparkSession.sparkContext.broadcast(frequency)
 
     def run(batches):
@@ -171,7 +183,7 @@ def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
                     places.append(place)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64()) for x in (tokens, nodes, comps, sizes, places)], names=["token", "node", "component", "n", "place"])
 
-    return staged(sets.select("node", "component", "members").mapInArrow(run, "token long, node long, component long, n long, place long"), "prefixes")
+    return staged(sets.select("node", "component", "members").mapInArrow(tidied(run), "token long, node long, component long, n long, place long"), "prefixes")
 
 
 def _labelled(df: DataFrame, key: str, text: str, size: int, percent: int, also: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
@@ -211,6 +223,8 @@ def _labelled(df: DataFrame, key: str, text: str, size: int, percent: int, also:
             many = _main(rows, "bucket").filter(F.col("others") > FEW).select("node", "component").distinct()
             pairs = pairs.union(_across(_main(_prefixes(many.join(links.sets, "node"), percent), "token"), "token", percent)).distinct()
         new = staged(links.confirmed(staged(pairs, "pairs")), "links")
+        if new.isEmpty():
+            continue
         name = label.select("node", "component")
         ends = new.join(name.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(name.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
         merged = components(ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).filter("a != b").distinct())

@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 
 #: Words kept with their hashes in one process.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 200_000
 _U = np.uint64
 
 
