@@ -25,7 +25,7 @@ _CLASSES = (4, 6, 8, 10, 12, 14, 16, 20, 24, 32, 48, LONG)
 _NONE = np.int32(2**31 - 1)
 _SHIFT = 20
 #: Words kept with their ids in one process; beyond this the table is emptied.
-CACHE_WORDS = 800_000
+CACHE_WORDS = 300_000
 
 
 def byte_symbols() -> dict[int, str]:

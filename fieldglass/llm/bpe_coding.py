@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fieldglass.llm import bpe
-from fieldglass.llm.common import over_text, text_column
+from fieldglass.llm.common import over_text, texts_of
 
 
 def vocabulary(spark: SparkSession, path: str) -> Callable[[], bpe.RankedBpe]:
@@ -39,13 +39,12 @@ def _schema(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
 def encode(df: DataFrame, path: str, text: str = "text", out: str = "ids") -> DataFrame:
     """Adds `out`, the ids of each text; special tokens inside texts become their own ids, none is added."""
     load = vocabulary(df.sparkSession, path)
-    given = df.withColumn(text, text_column(text))
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        flat, offsets = load().encode_flat(batch.column(batch.schema.get_field_index(text)).to_pylist())
+        flat, offsets = load().encode_flat(texts_of(batch, text))
         return _with(batch, out, pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat.astype(np.int32))))
 
-    return over_text(given, step, _schema(given, out, T.ArrayType(T.IntegerType())), text)
+    return over_text(df, step, _schema(df, out, T.ArrayType(T.IntegerType())), text)
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded", special: bool = True) -> DataFrame:

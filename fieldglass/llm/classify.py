@@ -1,8 +1,8 @@
 """Operators 5 and 6: quality and toxicity scores from naive Bayes support vectors, trained on labelled documents.
 
 Labels are learnt only from rows with crc32(id as text) mod 5 other than 0. The fit takes at most SAMPLE of these, half
-from each class where there are enough, chosen by the hash of the id; class shares are counted over all of them. Scores
-are computed for every row, from its whole text and nothing else.
+from each class where there are enough, chosen by the hash of the id, and at most FIT_BYTES of their features; class
+shares are counted over all of them. Scores are computed for every row, from its whole text and nothing else.
 
 A null or empty text is scored like any other. Null labels are no labels; a document labelled twice counts once, with
 the larger label. Without labels of both classes every text's score is the share of label 1 (0.5 if there is none).
@@ -17,12 +17,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fieldglass.llm import nbsvm
-from fieldglass.llm.common import id_remainder, over_text, text_column
+from fieldglass.llm.common import id_remainder, over_text, staged, text_column, texts_of
 
 #: Most labelled documents that a fit takes.
 SAMPLE = 4_000
+#: Most bytes of their features that reach the driver; rows beyond it, in the order of their ids' hashes, aren't taken.
+FIT_BYTES = 96 << 20
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str, features: nbsvm.Features, sample: int = SAMPLE, key: str = "doc_id", text: str = "text") -> nbsvm.Model:
@@ -45,10 +48,13 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, features: nbsvm.Features
         found = [r.tobytes() for r in features(batch.column(0).to_pylist())]
         return pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), batch.column(1), batch.column(2)], names=["buckets", "label", "order"])
 
-    # at most `sample` ids: a bounded broadcast, and at most twice as many rows back should ids repeat
+    # at most `sample` ids: a bounded broadcast; of rows that share an id the one with the smallest digest, so at most as many rows back
     matched = docs.select(F.col(key).alias("__id"), text_column(text).alias("__text")).join(F.broadcast(ids), F.col("__id") == F.col("__own"))
-    rows = over_text(matched.select("__text", "label", F.xxhash64("__id").alias("order")), step, "buckets binary, label int, order long", "__text").limit(2 * sample).collect()
-    rows.sort(key=lambda r: (r["order"], r["buckets"]))
+    rows = over_text(matched.select("__text", "label", F.xxhash64("__id").alias("order")), step, "buckets binary, label int, order long", "__text")
+    rows = staged(rows.groupBy("order", "label").agg(F.min_by("buckets", F.md5("buckets")).alias("buckets")), "fit")
+    sizes = sorted(rows.select("order", F.octet_length("buckets")).collect())
+    last = max((o for (o, _), n in zip(sizes, np.cumsum([n for _, n in sizes])) if n <= FIT_BYTES), default=sizes[0][0] if sizes else 0)
+    rows = sorted(rows.filter(F.col("order") <= last).collect(), key=lambda r: (r["order"], r["buckets"]))
     return nbsvm.fit([np.frombuffer(r["buckets"], np.int32) for r in rows], np.array([1 if r["label"] == 1 else -1 for r in rows]), share)
 
 
@@ -57,13 +63,11 @@ def score(docs: DataFrame, model: nbsvm.Model, features: nbsvm.Features, thresho
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = batch.column(batch.schema.get_field_index("__text")).to_pylist()
-        names = [n for n in batch.schema.names if n != "__text"]
-        p = shipped.value.probabilities(features(texts))
-        return pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(p, pa.float64())], names=[*names, "score"])
+        p = shipped.value.probabilities(features(texts_of(batch, text)))
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(p, pa.float64())], names=[*batch.schema.names, "score"])
 
-    given = docs.drop("held_out", "score", "predicted").withColumn("held_out", id_remainder(key, 5) == 0).withColumn("__text", text_column(text))
-    scored = over_text(given, step, given.drop("__text").schema.add("score", "double"), "__text")
+    given = docs.drop("held_out", "score", "predicted").withColumn("held_out", id_remainder(key, 5) == 0)
+    scored = over_text(given, step, T.StructType([*given.schema.fields]).add("score", "double"), text)
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 

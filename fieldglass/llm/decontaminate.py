@@ -26,13 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldglass.llm import bm25
-from fieldglass.llm.common import chunks, text_column
+from fieldglass.llm.common import chunks, text_column, texts_of, tidied
 
 SHARD_BYTES = 16 << 20
 #: Least score of a passage for an item, as a share of the item's own, and least overlaps of question and answer. A
 #: question found as good as whole counts without its answer.
 THRESHOLD, QUESTION, ANSWER, WHOLE_QUESTION = 0.5, 0.5, 0.5, 0.8
-CACHE_WORDS = 500_000
+CACHE_WORDS = 200_000
 
 
 class _Numbers(dict):
@@ -121,22 +121,21 @@ def matches(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, key
                 columns = [pa.array([r[j] for r in rows], k) for j, k in enumerate((kind, pa.float64(), pa.float64(), pa.float64(), pa.int64()))]
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *columns], names=[key, item, "score", "question_overlap", "answer_overlap", "first_word"])
 
-        part = docs.select(key, text_column(text).alias("__text")).mapInArrow(run, schema)
+        part = docs.select(key, text_column(text).alias("__text")).mapInArrow(tidied(run), schema)
         out = part if out is None else out.union(part)
     return out
 
 
 def clean(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of `docs` in which no item is found, with their columns; judged row by row, without a join."""
-    spark, rest = docs.sparkSession, docs.withColumn("__text", text_column(text))
+    spark, rest = docs.sparkSession, docs
     for index in _shards(items, "item_id", "text"):
         shipped = spark.sparkContext.broadcast(index)
 
         def run(batches, shipped=shipped):
             numbers = _Numbers(shipped.value)
-            for batch in chunks(batches, "__text"):
-                texts = batch.column(batch.schema.get_field_index("__text")).to_pylist()
-                yield batch.filter(pa.array([not found_in(shipped.value, numbers, t) for t in texts], pa.bool_()))
+            for batch in chunks(batches, text):
+                yield batch.filter(pa.array([not found_in(shipped.value, numbers, t) for t in texts_of(batch, text)], pa.bool_()))
 
-        rest = rest.mapInArrow(run, rest.schema)
-    return rest.drop("__text")
+        rest = rest.mapInArrow(tidied(run), rest.schema)
+    return rest

@@ -20,7 +20,11 @@ from fieldglass.llm.shingles import mixed
 _U = np.uint64
 BITS = 18
 #: Words kept with their hashes in one process.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 200_000
+
+
+#: Characters of a text whose n-grams are held at once.
+SEGMENT = 1 << 16
 
 
 def _distinct(parts: Sequence[np.ndarray], bits: int) -> np.ndarray:
@@ -80,16 +84,20 @@ def word_features(texts: list[str], bits: int = BITS) -> list[np.ndarray]:
 
 
 def char_features(texts: list[str], bits: int = BITS, orders: Sequence[int] = (3, 4, 5)) -> list[np.ndarray]:
-    """Buckets of the character n-grams of each lower-cased text, with a space before and after it."""
+    """Buckets of the character n-grams of each lower-cased text, with a space before and after it; a long text is taken segment by segment."""
     out = []
     for t in texts:
-        x = np.frombuffer(f" {t.lower()} ".encode("utf-32-le"), np.uint32).astype(_U)
-        h, parts = x.copy(), []
-        for n in range(2, max(orders) + 1):
-            h = h[:-1] * _U(0x100000001B3) + x[n - 1 :]
-            if n in orders and len(h):
-                parts.append((h + _U(n)) * _U(0x9E3779B97F4A7C15))
-        out.append(_distinct(parts, bits))
+        codes = np.frombuffer(f" {t.lower()} ".encode("utf-32-le"), np.uint32)
+        found: list[np.ndarray] = []
+        for begin in range(0, len(codes), SEGMENT):
+            x = codes[begin : begin + SEGMENT + max(orders) - 1].astype(_U)  # n-grams at the end belong to the next segment as well
+            h, parts = x, []
+            for n in range(2, max(orders) + 1):
+                h = h[:-1] * _U(0x100000001B3) + x[n - 1 :]
+                if n in orders and len(h):
+                    parts.append((h + _U(n)) * _U(0x9E3779B97F4A7C15))
+            found = [_distinct(parts, bits)] if not found else [np.union1d(found[0], _distinct(parts, bits))]
+        out.append(found[0])
     return out
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldglass.llm import bpe_coding, chat, classify, decontaminate, fingerprints, lm_score, minhash_dedup, nbsvm, suffix_dedup, token_counts
-from fieldglass.llm.common import read_table, shared_dir, text_column
+from fieldglass.llm.common import read_table, shared_dir, spread, text_column
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -20,6 +20,10 @@ def _query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return f
 
 
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
@@ -30,7 +34,7 @@ def tokenizer_path(name: str) -> str:
 def op2_bpe_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every text and the text decoded from them, as digests."""
     path = tokenizer_path("byte_bpe_50k.json")
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = _documents(spark, sf_dir)
     coded = bpe_coding.decode(bpe_coding.encode(docs, path).drop("text"), path)
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
@@ -39,7 +43,7 @@ def op2_bpe_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of every text through a cache that starts empty, so that every distinct text is encoded."""
     cache = token_counts.DigestCache(spark, f"{shared_dir(spark)}/token-cache-{uuid.uuid4().hex}")
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = _documents(spark, sf_dir)
     counted = token_counts.count_tokens(docs, tokenizer_path("byte_bpe_50k.json"), cache)
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
 
@@ -47,34 +51,34 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents."""
-    return minhash_dedup.linked(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return minhash_dedup.linked(_documents(spark, sf_dir))
 
 
 @_query
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Removal of every byte that a repeating 400-byte string covers."""
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    return suffix_dedup.remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    docs = _documents(spark, sf_dir)
+    return suffix_dedup.remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), (F.col("n_removed") > 0).alias("removed"))
 
 
 @_query
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality scores of all documents from word n-grams."""
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = _documents(spark, sf_dir)
     return classify.classified(docs, read_table(spark, sf_dir, "labels"), "quality", nbsvm.word_features, 0.3).drop("text")
 
 
 @_query
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity scores of all documents from character n-grams."""
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = _documents(spark, sf_dir)
     return classify.classified(docs, read_table(spark, sf_dir, "labels"), "toxic", nbsvm.char_features, 0.5).drop("text")
 
 
 @_query
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document and benchmark item found in it."""
-    return decontaminate.matches(read_table(spark, sf_dir, "documents").select("doc_id", "text"), read_table(spark, sf_dir, "benchmark").select("item_id", "text"))
+    return decontaminate.matches(_documents(spark, sf_dir), read_table(spark, sf_dir, "benchmark").select("item_id", "text"))
 
 
 @_query
@@ -110,14 +114,14 @@ FROM f GROUP BY conv_id
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every text and its edited text, and their likeness to each other and to the next document's."""
     f = fingerprints
-    rows = f.with_edit(f.with_next(read_table(spark, sf_dir, "documents").select("doc_id", "text")))
+    rows = f.with_edit(f.with_next(_documents(spark, sf_dir)))
     return rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), f.as_text(F.col("sketch")).alias("fingerprint"), f.as_text(F.col("edited_sketch")).alias("edited_fingerprint"), f.resemblance(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"), f.resemblance(F.col("sketch"), F.col("next_sketch")).alias("near_next"))
 
 
 @_query
 def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language-model scores of all documents, from those that are not held out."""
-    return lm_score.score(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return lm_score.score(_documents(spark, sf_dir))
 
 
 ORACLES["op3_minhash_dedup"] = r"""
