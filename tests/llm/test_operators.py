@@ -171,7 +171,7 @@ def _repeats(rows, width, keep):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("divide", [4000, 1])
+@pytest.mark.parametrize("divide", [1000, 2, 1])  # whole contexts, then pieces too, then single windows too
 @pytest.mark.parametrize("keep", [False, True])
 def test_repeats_equal_brute_force(spark, edge, divide, keep, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "DIVIDE", divide)
@@ -190,11 +190,34 @@ def test_repeats_in_documents_and_empty_tables(spark, sf, empty):
 def test_prefix_ranks_order_suffixes():
     data = np.frombuffer(b"abracadabra" * 5 + b"bra", np.uint8)
     for width in (8, 16, 20):
-        rank = suffixes.prefix_ranks(data, width)
+        rank = suffixes.prefix_ranks(data, width)[-1][1]
         keys = [bytes(data[i : i + width]).ljust(width, b"\0") for i in range(len(data))]
         assert all((rank[i] < rank[j]) == (keys[i] < keys[j]) for i in range(len(data)) for j in range(0, len(data), 3))
 
 
+def test_previous_and_next_factors_equal_brute_force():
+    rnd = np.random.default_rng(3)
+    for width in (8, 12, 16):
+        for n in (17, 60, 200):
+            data = np.tile(rnd.integers(0, 2, n).astype(np.uint8), 2)
+            text, starts = data.tobytes(), np.sort(rnd.choice(len(data) - width + 1, n, replace=False))
+            common = lambda i, j: next((k for k in range(width) if text[i + k] != text[j + k]), width)
+            before, after = suffixes.previous_factors(data, starts, width)
+            for x, i in enumerate(starts.tolist()):
+                for got, others in ((before[x], starts[:x]), (after[x], starts[x + 1 :])):
+                    want = max((common(i, j) for j in others.tolist()), default=0)
+                    assert got == (width if want == width else want // 8 * 8)
+    values = rnd.permutation(500)
+    assert suffixes.previous_smaller(values).tolist() == [max((j for j in range(i) if values[j] < values[i]), default=-1) for i in range(500)]
+
+
+def test_repeats_pass_columns_through_whatever_their_names(spark):
+    df = spark.createDataFrame([(1, "ab" * 300, "x", 5), (2, None, None, None)], "doc_id long, text string, __text string, n_bytes long").withColumn("__DIGEST", F.lit(b"k")).withColumn("__all", F.lit(True))
+    got = {r.doc_id: r for r in suffix_dedup.remove_repeats(df).collect()}
+    assert (got[1].n_bytes, got[1].n_removed, got[1]["__text"], got[1]["__all"]) == (600, 600, "x", True)
+    assert (got[2].n_bytes, got[2].n_removed, got[2].kept) == (0, 0, b"")
+
+
 def test_every_window_has_an_anchor_of_its_own_content():
     rnd = np.random.default_rng(1)
     data = rnd.integers(97, 100, 3000).astype(np.uint8)
@@ -356,7 +379,7 @@ def test_scores_equal_a_plain_model(spark, sf, edge, empty):
         p = lambda w: (c[w] - discount) / n if c[w] else discount * v / n
         want = defaultdict(list)
         for i, ws in docs:
-            s = sum(math.log10(((pairs[a, w] if c[w] >= 2 else 0) + 20 * p(w)) / (c[a] + 20)) if c[a] >= 2 else math.log10(p(w)) for a, w in zip([b"\n"] + ws[:-1], ws))
+            s = sum(math.log10((pairs[a, w] + 20 * p(w)) / (c[a] + 20)) for a, w in zip([b"\n"] + ws[:-1], ws))
             want[i].append((len(ws), sum(c[w] > 0 for w in ws), sum(math.log10((c[w] + 1) / (n + v + 1)) for w in ws), s))
         got = lm_score.score(df).collect()
         assert len(got) == len(docs)
@@ -385,22 +408,41 @@ def test_pairs_of_words_seen_once_are_learnt(spark):
         assert all(abs(got[i].score - want[i]) <= 0.021 * got[i].n_tokens for i in want)
 
 
-def test_trie_finds_exactly_its_pairs(tmp_path):
+@pytest.mark.parametrize("top", [50, 1 << 31])
+def test_trie_finds_exactly_its_pairs(top):
+    rnd = np.random.default_rng(0)
+    pairs = np.unique(np.stack([rnd.integers(0, top, 300)[rnd.integers(0, 300, 4000)], rnd.integers(0, top, 4000)]), axis=1)
+    codes = rnd.integers(1, 256, pairs.shape[1]).astype(np.uint8)
+    trie = ngram_trie.Trie.mapped(ngram_trie.Trie.build(*pairs, codes).to_bytes())
+    assert (trie.search(*pairs) == codes).all()
+    there = {(a, b): c for a, b, c in zip(*pairs.tolist(), codes.tolist())}
+    asked = np.concatenate([pairs[:, rnd.permutation(pairs.shape[1])] + [[0], [1]], pairs + [[1], [0]], rnd.integers(0, 2 * top, (2, 3000))], axis=1)
+    assert trie.search(*asked).tolist() == [there.get((a, b), 0) for a, b in zip(*asked.tolist())]
+    none = ngram_trie.Trie.mapped(ngram_trie.Trie.build(pairs[0, :0], pairs[1, :0], codes[:0]).to_bytes())
+    assert not none.search(*asked).any()
+
+
+def test_sequences_and_words_are_found():
     rnd = np.random.default_rng(0)
-    context, successor = np.sort(rnd.integers(0, 1 << 48, 500).astype(np.uint64))[rnd.integers(0, 500, 4000)], rnd.integers(0, 1 << 40, 4000).astype(np.uint64)
-    order = np.lexsort((successor, context))
-    context, successor = context[order], successor[order]
-    codes = rnd.integers(1, 256, 4000).astype(np.uint8)
-    ngram_trie.Trie.build(context, successor, codes).save(str(tmp_path / "t"))
-    trie = ngram_trie.Trie.open(str(tmp_path / "t"))
-    assert (trie.search(context, successor) == codes).all()
-    assert not trie.search(context, successor ^ np.uint64(1)).any() and not trie.search(context ^ np.uint64(1 << 20), successor).any()
-    values = np.sort(rnd.integers(0, 10**6, 1000).astype(np.uint64))
-    ef = ngram_trie.EliasFano.build(values, 10**6)
-    x = rnd.integers(0, 10**6, 2000).astype(np.uint64)
-    assert (ef.lower(x) == np.searchsorted(values, x)).all()
-    none = ngram_trie.Trie.build(context[:0], successor[:0], codes[:0])
-    assert not none.search(context[:5], successor[:5]).any()
+    for universe in (10**6, 1 << 63):
+        values = np.sort(rnd.integers(0, universe, 1000).astype(np.uint64))
+        ef = ngram_trie.EliasFano.build(values, universe)
+        assert (ef.get(np.arange(1000)) == values).all()
+        x = np.concatenate([values, rnd.integers(0, universe, 2000).astype(np.uint64)])
+        at, found = ef.find(x)
+        assert (at == np.searchsorted(values, x)).all() and (found == np.isin(x, values)).all()
+    words = np.unique(rnd.integers(0, 1 << 59, 500).astype(np.uint64))
+    level = ngram_trie.Words.mapped(ngram_trie.Words.build(words, np.arange(1, len(words) + 1), 1 << 59).to_bytes())
+    number, count = level.search(np.append(words, words[:5] + np.uint64(1)))
+    assert number.tolist() == [*range(len(words)), *[-1] * 5] and count.tolist() == [*range(1, len(words) + 1), *[0] * 5]
+
+
+def test_a_frequent_context_is_dealt_over_shards(spark, monkeypatch):
+    texts = [(i, " ".join(f"the w{i}x{j % 7}" for j in range(40))) for i in range(30)]
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    plain = rows_of(lm_score.score(df))
+    monkeypatch.setattr(lm_score, "SHARD_TOKENS", 200)
+    assert rows_of(lm_score.score(df)) == plain
 
 
 # 1
