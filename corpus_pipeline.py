@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldglass.llm import bpe_coding, classify, decontaminate, minhash_dedup, nbsvm, suffix_dedup
-from fieldglass.llm.common import read_table, shared_dir, text_column
+from fieldglass.llm.common import read_table, shared_dir, spread, text_column
 from fieldglass.llm.queries import tokenizer_path
 
 #: SQL can't express the classifier nor the tokenizer; tests compare stages with brute-force versions.
@@ -52,7 +52,7 @@ STAGES = [("toxicity", drop_toxic), ("minhash_dedup", drop_near_duplicates), ("s
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages applied to `documents`, each one's result written to the shared folder."""
-    docs, base = read_table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs, base = spread(read_table(spark, sf_dir, "documents")), f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{name}")
         docs = spark.read.parquet(f"{base}/{name}")
