@@ -113,18 +113,21 @@ def is_private_ipv4(c: Column) -> Column:
     return F.trim(c).rlike(r"^(10\.|127\.|169\.254\.|192\.168\.|172\.(1[6-9]|2[0-9]|3[01])\.)")
 
 
+def ip_address_at(place: Column, private: bool) -> Column:
+    """The pseudonym at a place: private addresses are 10.203.x.y, public ones those of the documentation ranges."""
+    last = (place % 254 + 1).cast("string")
+    if private:
+        return F.concat(F.lit("10.203."), F.floor(place / 254).cast("string"), F.lit("."), last)
+    ranges = F.element_at(F.array(*map(F.lit, ("192.0.2", "198.51.100", "203.0.113"))), (F.floor(place / 254) + 1).cast("int"))
+    return F.concat(ranges, F.lit("."), last)
+
+
 def ip_candidate(original: Column, h: Column, attempt: Column | int = 0) -> Column:
     """Private addresses go to 10.203.x.y, public ones to the documentation ranges, IPv6 to the documentation prefix; attempts probe linearly."""
     attempt = F.lit(attempt) if isinstance(attempt, int) else attempt
-    inside = (number(h, 0, 2) + attempt) % PRIVATE_IPV4
-    outside = (number(h, 0, 2) + attempt) % PUBLIC_IPV4
-    ranges = F.element_at(F.array(*map(F.lit, ("192.0.2", "198.51.100", "203.0.113"))), (F.floor(outside / 254) + 1).cast("int"))
     v6 = F.concat_ws(":", F.lit("2001:db8"), *(_hex(h, 2 * i, 2 * i + 2) for i in range(6)))
-    return (
-        F.when(original.contains(":"), v6)
-        .when(is_private_ipv4(original), F.concat(F.lit("10.203."), F.floor(inside / 254).cast("string"), F.lit("."), (inside % 254 + 1).cast("string")))
-        .otherwise(F.concat(ranges, F.lit("."), (outside % 254 + 1).cast("string")))
-    )
+    place = number(h, 0, 2) + attempt
+    return F.when(original.contains(":"), v6).when(is_private_ipv4(original), ip_address_at(place % PRIVATE_IPV4, True)).otherwise(ip_address_at(place % PUBLIC_IPV4, False))
 
 
 def phone_candidate(original: Column, h: Column) -> Column:

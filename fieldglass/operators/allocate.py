@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from fieldglass.functions import digest as D
 from fieldglass.functions import scalar as S
+from fieldglass.operators.staging import staged
 
 ATTEMPTS = 256
 
@@ -22,31 +25,87 @@ def entities(df: DataFrame, column: str) -> DataFrame:
     return df.filter(F.trim(c) != "").groupBy(D.canonical(c).alias("key")).agg(F.min(c).alias("original"))
 
 
+#: Kinds whose pseudonyms can run out, and how many there are.
+CAPACITY = {"address": 399 * len(D.STREETS)}
+
+
+def _settled(open_: DataFrame, seed: bytes, used: DataFrame | None, kinds: list[str], attempts: int) -> DataFrame:
+    """(kind, key, original, pseudonym, attempt), by rounds of proposals for all kinds at once."""
+    done = []
+    for attempt in range(attempts):
+        h = D.entity_digest(seed, F.col("kind"), F.col("original"), attempt)
+        named = F.lit(None).cast("string")
+        for kind in kinds:
+            named = F.when(F.col("kind") == kind, D.candidate(kind, F.col("original"), F.col("h"), attempt)).otherwise(named)
+        proposed = staged(open_.withColumn("h", h).withColumn("pseudonym", named).drop("h").withColumn("form", F.lower("pseudonym")), "proposed")
+        first = proposed.groupBy("kind", "form").agg(F.min("key").alias("key"))  # combined within tasks, however many ask for one form
+        if used is not None:
+            first = first.join(used, ["kind", "form"], "left_anti")
+        done.append(staged(proposed.join(first, ["kind", "form", "key"]).select("kind", "key", "original", "pseudonym", F.lit(attempt).alias("attempt")), "settled"))
+        open_ = proposed.join(done[-1].select("kind", "key"), ["kind", "key"], "left_anti").select("kind", "key", "original")
+        kinds = [r[0] for r in open_.select("kind").distinct().collect()]
+        if not kinds:
+            return reduce(DataFrame.union, done)
+        taken = done[-1].select("kind", F.lower("pseudonym").alias("form"))
+        used = taken if used is None else used.union(taken)
+    raise AllocationError(f"no free pseudonym after {attempts} attempts")
+
+
+def _numbered(found: DataFrame, seed: bytes, private: bool, taken: DataFrame | None) -> DataFrame:
+    """IPv4 addresses (key, original) at the first free place from their digest's on, in one pass over at most as many rows as there are places.
+
+    Places that are free are numbered; entities in the order of their own place take the next number from it on (a
+    running maximum), and those that run over the end take the numbers left at the beginning.
+    """
+    spark, size = found.sparkSession, D.PRIVATE_IPV4 if private else D.PUBLIC_IPV4
+    digest = D.entity_digest(seed, "ip_address", F.col("original"), 0)
+    at = spark.range(size).select(F.col("id").alias("place"), D.ip_address_at(F.col("id"), private).alias("pseudonym"))
+    gone = (taken if taken is not None else spark.createDataFrame([], "pseudonym string")).select("pseudonym", F.lit(1).alias("gone")).distinct()
+    if found.count() + at.join(gone, "pseudonym").count() > size:
+        raise AllocationError(f"more than {size} {'private' if private else 'public'} addresses")
+    every = Window.orderBy("place")
+    places = at.join(gone, "pseudonym", "left").withColumn("free", F.coalesce(F.lit(1) - F.col("gone"), F.lit(1))).withColumn("number", F.sum("free").over(every) - F.col("free"))
+    free = staged(places.filter("free = 1").select("number", "place", "pseudonym"), "free")
+    asked = found.withColumn("place", D.number(digest, 0, 2) % size).join(places.select("place", "number"), "place").withColumn("i", F.row_number().over(Window.orderBy("number", "key")))
+    put = asked.withColumn("number", F.col("i") + F.max(F.col("number") - F.col("i")).over(Window.orderBy("i"))).drop("i")
+    fits = staged(put.join(free.select("number", F.col("place").alias("got"), "pseudonym"), "number", "left"), "placed")
+    inside = fits.filter(F.col("got").isNotNull())
+    left = free.join(inside.select("number"), "number", "left_anti").withColumn("turn", F.row_number().over(Window.orderBy("number")))
+    over = fits.filter(F.col("got").isNull()).select("key", "original", "place").withColumn("turn", F.row_number().over(Window.orderBy("place", "key")))
+    wrapped = over.join(left.select("turn", F.col("place").alias("got"), "pseudonym"), "turn")
+    shape = ["key", "original", "pseudonym", ((F.col("got") - F.col("place") + size) % size).cast("int").alias("attempt")]
+    return inside.select(*shape).union(wrapped.select(*shape))
+
+
+def allocate_kinds(found: DataFrame, seed: bytes, taken: DataFrame | None = None, attempts: int = ATTEMPTS) -> DataFrame:
+    """(kind, key, original, pseudonym, attempt) for each entity (kind, key, original), as `allocate` for each kind; `taken` has (kind, pseudonym)."""
+    found = staged(found.select("kind", "key", "original"), "wanted")
+    counts = {r["kind"]: r["n"] for r in found.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).collect()}
+    for kind, n in counts.items():
+        if n > CAPACITY.get(kind, n):
+            raise AllocationError(f"{n} entities of kind {kind}, and {CAPACITY[kind]} pseudonyms")
+    four = (F.col("kind") == "ip_address") & ~F.col("original").contains(":")
+    used = None if taken is None else taken.select("kind", F.lower("pseudonym").alias("form")).distinct()
+    out = _settled(found.filter(~four), seed, used, sorted(counts), attempts)
+    if "ip_address" in counts:
+        private = D.is_private_ipv4(F.col("original"))
+        old = None if taken is None else taken.filter("kind = 'ip_address'").select("pseudonym")
+        for inside in (True, False):
+            own = found.filter(four & (private if inside else ~private)).select("key", "original")
+            out = out.unionByName(_numbered(own, seed, inside, old).withColumn("kind", F.lit("ip_address")))
+    return out.select("kind", "key", "original", "pseudonym", "attempt")
+
+
 def allocate(found: DataFrame, kind: str, seed: bytes, taken: DataFrame | None = None, attempts: int = ATTEMPTS) -> DataFrame:
     """(key, original, pseudonym, attempt) for each entity (key, original); pseudonyms differ in any case from each other and from `taken`.
 
     In each round every open entity proposes; of equal proposals the smallest key's wins, the others go to the next
-    attempt with a large keyed suffix. Almost all are settled after the first two rounds. The result depends on the set
-    of entities alone, not on their order, and entries given before are never changed.
+    attempt with a large keyed suffix. Almost all are settled after the first two rounds. IPv4 addresses are placed at once.
+    Where there are fewer pseudonyms than entities that is an error before any round. The result depends on the set of
+    entities alone, not on their order, and entries given before are never changed.
     """
-    done, open_, used = None, found.select("key", "original"), taken.select(F.lower("pseudonym").alias("form")) if taken is not None else None
-    for attempt in range(attempts):
-        h = D.entity_digest(seed, kind, F.col("original"), attempt)
-        if kind == "ip_address":  # probes linearly from the first digest
-            h = D.entity_digest(seed, kind, F.col("original"), 0)
-        proposed = open_.withColumn("h", h).withColumn("pseudonym", D.candidate(kind, F.col("original"), F.col("h"), attempt)).withColumn("form", F.lower("pseudonym")).drop("h")
-        if used is not None:
-            proposed = proposed.join(used.withColumn("used", F.lit(True)), "form", "left")
-        else:
-            proposed = proposed.withColumn("used", F.lit(None).cast("boolean"))
-        proposed = proposed.withColumn("rank", F.row_number().over(Window.partitionBy("form").orderBy("key"))).persist()
-        won = proposed.filter(F.col("used").isNull() & (F.col("rank") == 1)).select("key", "original", "pseudonym", F.lit(attempt).alias("attempt"))
-        done = won if done is None else done.union(won)
-        open_ = proposed.filter(F.col("used").isNotNull() | (F.col("rank") > 1)).select("key", "original")
-        used = done.select(F.lower("pseudonym").alias("form")) if taken is None else done.select(F.lower("pseudonym").alias("form")).union(taken.select(F.lower("pseudonym").alias("form")))
-        if open_.isEmpty():
-            return done
-    raise AllocationError(f"no free {kind} pseudonym after {attempts} attempts")
+    old = None if taken is None else taken.select(F.lit(kind).alias("kind"), "pseudonym")
+    return allocate_kinds(found.withColumn("kind", F.lit(kind)), seed, old, attempts).drop("kind")
 
 
 def composite_email(df: DataFrame, column: str, users: DataFrame, domains: DataFrame) -> DataFrame:

@@ -1,26 +1,31 @@
-"""Pseudonymisation of tables: entities are found set-wise, linked by row families, allocated, and joined back.
-
-Parts of composite values share their entities: an address is user@domain, DOMAIN\\user a domain and a user, a full host
-name a host label and its domain. Members of one row's identity family (account name, user principal name, display name
-with one field prefix) name one user; which of them is the root is decided by connected components over all rows, so the
-result depends on the set of values and not on row order. Distinct entities are aggregated before they are joined; joins
-with the mapping are left to the optimizer, which broadcasts it only while it is small.
+"""Pseudonymisation of tables: entities are noted row by row, linked and allocated set-wise, and put in row by row.
+
+What becomes of a row's values is told in `rows.Rewriter`. Its first run notes the simple entities (kind and text) and which
+user names one row holds as one user; these are reduced to distinct ones within tasks before they move. User names that
+rows link, directly or through others, share a pseudonym: the smallest name of their component is its root, so the result
+depends on the set of values and not on row order. A person that a row shows with a user is named after that user. The second
+run puts pseudonyms in, from a mapping sent to the executors: it holds only what the rows hold, and at most as many new
+entries as the vault takes in one go, which is checked first. Rows are never shuffled.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fieldglass.functions import digest as D
-from fieldglass.functions.scalar import normalised_field, split_account, split_email
+from fieldglass.functions.scalar import normalised_field
 from fieldglass.operators import allocate as A
-from fieldglass.operators.policy import FieldPolicy, field_kind
-from fieldglass.operators.vault import Vault, VaultError
+from fieldglass.operators import paths, recognise, rows
+from fieldglass.operators.policy import FieldPolicy
+from fieldglass.operators.staging import staged
+from fieldglass.operators.vault import Vault, VaultError, canonical
 
 _FAMILY = [
     (r"(account)(name|domain|displayname)$", r"\1"),
@@ -33,13 +38,6 @@ _FAMILY = [
 _DEVICE = re.compile(r"device|computer|machine|workstation|hostname|dvc")
 
 
-@dataclass(frozen=True)
-class Field:
-    column: str
-    kind: str
-    family: str | None = None
-
-
 def identity_family(field: str) -> str | None:
     """The family of an identity field: its name with what tells the member taken off."""
     name = normalised_field(field)
@@ -62,124 +60,161 @@ def device_family(field: str) -> tuple[str, str] | None:
     return None
 
 
-def plan(df: DataFrame, policy: FieldPolicy) -> list[Field]:
-    """The text columns to rewrite with their kinds and families."""
-    out = []
-    for f in df.schema.fields:
-        kind = field_kind(f.name)
-        if f.dataType.typeName() == "string" and kind and f.name in policy:
-            out.append(Field(f.name, kind, identity_family(f.name) if kind in ("username", "email", "person") else None))
-    return out
-
-
-def _column(name: str) -> Column:
-    return F.trim(F.col(f"`{name}`"))
-
-
-def _parts(field: Field) -> dict[str, Column]:
-    """The simple entities in a column by kind; empty text where there is none."""
-    c = _column(field.column)
-    if field.kind == "email" or field.kind in ("person", "username"):
-        user, domain = split_email(c)
-        own_domain, own_user = split_account(c)
-        name = F.when(user != "", user).when(own_user != "", own_user).otherwise(c)
-        if field.kind == "person":
-            return {"person": F.when(user != "", F.lit("")).otherwise(c), "username": user, "domain": domain}
-        return {"username": name, "domain": F.when(domain != "", domain).otherwise(own_domain)}
-    if field.kind == "hostname":
-        dotted = c.contains(".") & ~c.rlike(r"^[0-9.]+$")
-        return {"hostname": F.when(dotted, F.substring_index(c, ".", 1)).otherwise(c), "domain": F.when(dotted, F.regexp_extract(c, r"^[^.]+\.(.+)$", 1)).otherwise("")}
-    return {field.kind: c}
-
-
-def entities(df: DataFrame, fields: list[Field]) -> DataFrame:
-    """(kind, key, original): the distinct simple entities of all planned columns, combined before the shuffle."""
-    found = [df.select(F.lit(kind).alias("kind"), c.alias("original")) for f in fields for kind, c in _parts(f).items()]
-    every = reduce(DataFrame.union, found).filter(F.col("original") != "")
-    return every.groupBy("kind", D.canonical(F.col("original")).alias("key")).agg(F.min("original").alias("original"))
-
-
-def aliases(df: DataFrame, fields: list[Field]) -> DataFrame | None:
-    """(key, root): user names that rows' families say are one user, with the smallest as root."""
-    links = []
-    families: dict[str, list[Field]] = {}
-    for f in fields:
-        if f.family is not None and f.kind in ("username", "email"):
-            families.setdefault(f.family, []).append(f)
-    for members in families.values():
-        for one, two in zip(members, members[1:]):
-            a, b = (D.canonical(_parts(f)["username"]) for f in (one, two))
-            links.append(df.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).filter("a != '' AND b != '' AND a != b").distinct())
-    if not links:
+@dataclass(frozen=True)
+class Options:
+    """What is rewritten beyond the field policy: file names (off unless asked for) and configured phrases."""
+
+    filenames: bool = False
+    phrases: recognise.Phrases | None = None
+
+
+def _holds_text(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        return any(_holds_text(f.dataType) for f in kind.fields)
+    if isinstance(kind, T.ArrayType):
+        return _holds_text(kind.elementType)
+    if isinstance(kind, T.MapType):
+        return _holds_text(kind.keyType) or _holds_text(kind.valueType)
+    return isinstance(kind, (T.StringType, T.VarcharType, T.CharType))
+
+
+def _plain(value, kind: T.DataType):
+    """A value as objects, lists and texts; maps come as lists of pairs."""
+    if value is None:
+        return None
+    if isinstance(kind, T.MapType):
+        return {k: _plain(v, kind.valueType) for k, v in value}
+    if isinstance(kind, T.ArrayType):
+        return [_plain(v, kind.elementType) for v in value]
+    if isinstance(kind, T.StructType):
+        return {f.name: _plain(value[f.name], f.dataType) for f in kind.fields}
+    return value
+
+
+def _typed(value, kind: T.DataType):
+    if value is None:
         return None
-    edges = reduce(DataFrame.union, links).distinct().persist()
-    both = edges.union(edges.select("b", "a")).persist()
-    label = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("key"), F.least("a", "m").alias("root")).persist()
+    if isinstance(kind, T.MapType):
+        return [(k, _typed(v, kind.valueType)) for k, v in value.items()]
+    if isinstance(kind, T.ArrayType):
+        return [_typed(v, kind.elementType) for v in value]
+    if isinstance(kind, T.StructType):
+        return {f.name: _typed(value[f.name], f.dataType) for f in kind.fields}
+    return value
+
+
+def _rows(batch: pa.RecordBatch, fields: list[T.StructField]) -> list[dict]:
+    columns = [[_plain(v, f.dataType) for v in batch.column(batch.schema.get_field_index(f.name)).to_pylist()] for f in fields]
+    return [dict(zip((f.name for f in fields), values)) for values in zip(*columns, strict=True)]
+
+
+def noted(df: DataFrame, policy: FieldPolicy, options: Options = Options()) -> DataFrame:
+    """(kind, key, original, to): the distinct simple entities of all rows with kind and canonical key; links have kind `link` (two user names) or `named` (a person and a user name)."""
+    fields = [f for f in df.schema.fields if _holds_text(f.dataType)]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: dict[tuple[str, str, str], str] = {}
+
+            def note(kind: str, text: str, found=found) -> str:
+                key = (kind, canonical(text), "")
+                found[key] = min(text, found.get(key, text))
+                return text
+
+            def link(users: list[str], people: list[str], found=found) -> None:
+                keys = sorted({canonical(u) for u in users})
+                for u in users:
+                    note("username", u)
+                for p in people:
+                    note("person", p)
+                for k in keys[1:]:
+                    found["link", keys[0], k] = ""
+                for p in people:
+                    if keys:
+                        found["named", canonical(p), keys[0]] = ""
+
+            rewriter = rows.Rewriter(policy, identity_family, note, link, options.filenames, options.phrases)
+            for row in _rows(batch, fields):
+                rewriter.row(row)
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in found], pa.string()), pa.array([k[1] for k in found], pa.string()), pa.array(list(found.values()), pa.string()), pa.array([k[2] for k in found], pa.string())], names=["kind", "key", "original", "to"])
+
+    each = df.select(*(F.col(f"`{f.name}`") for f in fields)).mapInArrow(run, "kind string, key string, original string, to string")
+    return each.groupBy("kind", "key", "to").agg(F.min("original").alias("original")).select("kind", "key", "original", "to")
+
+
+def aliases(links: DataFrame) -> DataFrame:
+    """(key, root): the user names in links (key, to), each with the smallest of its component."""
+    edges = links.select(F.col("key").alias("a"), F.col("to").alias("b"))
+    both = staged(edges.union(edges.select("b", "a")).distinct(), "linked")
+    label = staged(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("key"), F.least("a", "m").alias("root")), "roots")
     while True:
         near = both.join(label.select(F.col("key").alias("b"), "root"), "b").groupBy("a").agg(F.min("root").alias("near"))
-        after = label.join(near.withColumnRenamed("a", "key"), "key").select("key", F.col("root").alias("was"), F.least("root", "near").alias("root")).persist()
+        after = staged(label.join(near.withColumnRenamed("a", "key"), "key").select("key", F.col("root").alias("was"), F.least("root", "near").alias("root")), "roots")
         if after.filter("was != root").isEmpty():
             return after.select("key", "root")
         label = after.select("key", "root")
 
 
-def mapping(df: DataFrame, fields: list[Field], vault: Vault) -> DataFrame:
-    """(kind, key, original, pseudonym) of every simple entity; entries of the vault are kept as they are."""
-    spark, found = df.sparkSession, entities(df, fields).persist()
-    linked, known, out = aliases(df, fields), vault.table(spark), None
-    for kind in sorted({k for f in fields for k in _parts(f)}):
-        own = found.filter(F.col("kind") == kind).select("key", "original").withColumn("__vault", vault.key_column(kind, F.col("original")))
-        old = known.filter(F.col("kind") == kind).select(F.col("key").alias("__vault"), "pseudonym")
-        given = own.join(old, "__vault").select("key", "original", "pseudonym")
-        fresh = own.join(old, "__vault", "left_anti").select("key", "original")
-        if kind == "username" and linked is not None:
-            rooted = fresh.join(linked, "key", "left").withColumn("root", F.coalesce("root", "key"))
-            settled = given.join(linked, "key", "left").groupBy(F.coalesce("root", "key").alias("root")).agg(F.countDistinct("pseudonym").alias("n"), F.min("pseudonym").alias("pseudonym"))
-            if not settled.filter("n > 1").isEmpty():
-                raise VaultError("rows link users that have different pseudonyms")
-            open_ = rooted.join(settled, "root", "left_anti").groupBy("root").agg(F.min("original").alias("original")).withColumnRenamed("root", "key")
-            made = A.allocate(open_, kind, vault.seed, old.select("pseudonym")).select(F.col("key").alias("root"), "pseudonym").union(settled.select("root", "pseudonym"))
-            new = rooted.join(made, "root").select("key", "original", "pseudonym")
-        else:
-            attempts = D.PRIVATE_IPV4 if kind == "ip_address" else A.ATTEMPTS
-            new = A.allocate(fresh, kind, vault.seed, old.select("pseudonym"), attempts).select("key", "original", "pseudonym")
-        part = given.union(new).withColumn("kind", F.lit(kind)).select("kind", "key", "original", "pseudonym")
-        out = part if out is None else out.union(part)
-    return out
-
-
-def apply(df: DataFrame, fields: list[Field], told: DataFrame) -> DataFrame:
-    """The rows with planned columns rewritten; null and blank values stay, rows and other columns too."""
-    for i, f in enumerate(fields):
-        have = {}
-        for kind, c in _parts(f).items():
-            name = f"__p{i}_{kind}"
-            side = told.filter(F.col("kind") == kind).select(F.col("key").alias(f"__k{i}_{kind}"), F.col("pseudonym").alias(name))
-            df = df.withColumn("__key", D.canonical(c)).join(side, F.col("__key") == F.col(f"__k{i}_{kind}"), "left").drop("__key", f"__k{i}_{kind}")
-            have[kind] = F.col(name)
-        c = F.col(f"`{f.column}`")
-        domain = have.get("domain", F.lit(None).cast("string"))
-        if f.kind in ("email", "username", "person"):
-            at, slash = c.contains("@") & domain.isNotNull(), c.contains("\\") & domain.isNotNull()
-            plain = have["person"] if f.kind == "person" else have["username"]
-            new = F.when(at, F.concat(have["username"], F.lit("@"), domain)).when(slash, F.concat(domain, F.lit("\\"), have["username"])).otherwise(plain)
-        elif f.kind == "hostname":
-            new = F.when(domain.isNotNull(), F.concat(have["hostname"], F.lit("."), domain)).otherwise(have["hostname"])
-        else:
-            new = have[f.kind]
-        df = df.withColumn(f.column, F.when(F.trim(c) == "", c).otherwise(F.coalesce(new, c))).drop(*(f"__p{i}_{k}" for k in have))
-    return df
-
-
-def pseudonymise(df: DataFrame, policy: FieldPolicy, vault: Vault, record: int = 1_000_000) -> DataFrame:
-    """`df` with identities replaced; new mappings are added to the vault, at most `record` of them (else an error, nothing added)."""
-    fields = plan(df, policy)
-    if not fields:
-        return df
-    told = mapping(df, fields, vault).persist()
-    rows = told.select("kind", "original", "pseudonym").limit(record + 1).collect()
-    if len(rows) > record:
+def mapping(found: DataFrame, vault: Vault) -> DataFrame:
+    """(kind, key, original, pseudonym) of every simple entity that was noted; entries of the vault are kept as they are."""
+    spark = found.sparkSession
+    simple, links, named = (found.filter(c) for c in (~F.col("kind").isin("link", "named"), F.col("kind") == "link", F.col("kind") == "named"))
+    known = vault.table(spark)
+    inside = F.col("key") if not vault.irreversible else D.vault_key(vault.seed, F.col("kind"), F.col("original"))
+    own = simple.withColumn("__vault", inside)
+    old = known.select(F.col("kind").alias("__kind"), F.col("key").alias("__key"), "pseudonym")
+    told = staged(own.join(old, (F.col("kind") == F.col("__kind")) & (F.col("__vault") == F.col("__key")), "left").select("kind", "key", "original", "pseudonym"), "told")
+
+    users = told.filter("kind = 'username'")
+    rooted = users.withColumn("root", F.col("key")) if links.isEmpty() else users.join(aliases(links), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    groups = staged(rooted.groupBy("root").agg(F.countDistinct("pseudonym").alias("n"), F.min("pseudonym").alias("pseudonym"), F.min("original").alias("original")), "users")
+    if not groups.filter("n > 1").isEmpty():
+        raise VaultError("rows link users that have different pseudonyms")
+    fresh = told.filter("pseudonym IS NULL")
+    people = named.groupBy(F.col("key").alias("person")).agg(F.min("to").alias("user"))
+    other = fresh.filter("kind != 'username'").join(people.select(F.lit("person").alias("kind"), F.col("person").alias("key")), ["kind", "key"], "left_anti")
+    wanted = other.select("kind", "key", "original").union(groups.filter("n = 0").select(F.lit("username").alias("kind"), F.col("root").alias("key"), "original"))
+    made = A.allocate_kinds(wanted, vault.seed, known.select("kind", "pseudonym"))
+    users = rooted.join(groups.filter("n = 1").select("root", "pseudonym").union(made.filter("kind = 'username'").select("key", "pseudonym")).withColumnRenamed("pseudonym", "given"), "root").select(F.lit("username").alias("kind"), "key", "original", F.col("given").alias("pseudonym"))
+    words = F.filter(F.split("given", r"[._-]+"), lambda w: w != "")
+    shown = people.join(users.select(F.col("key").alias("user"), F.col("pseudonym").alias("given")), "user").select("person", F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(w.substr(F.lit(2), F.length(w))))), " ").alias("given"))
+    persons = fresh.filter("kind = 'person'").join(shown, F.col("key") == F.col("person")).select("kind", "key", "original", F.col("given").alias("pseudonym"))
+    rest = made.filter("kind != 'username'").select("kind", "key", "original", "pseudonym")
+    settled = told.filter("pseudonym IS NOT NULL AND kind != 'username'")
+    return settled.select("kind", "key", "original", "pseudonym").union(users).union(persons).union(rest)
+
+
+def put_in(df: DataFrame, policy: FieldPolicy, told: dict[tuple[str, str], str], options: Options = Options()) -> DataFrame:
+    """The rows with every entity replaced by what `told` has for its kind and canonical key; columns keep names, order and types."""
+    fields = [f for f in df.schema.fields if _holds_text(f.dataType)]
+    shipped = df.sparkSession.sparkContext.broadcast(told)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mapped = shipped.value
+        rewriter = rows.Rewriter(policy, identity_family, lambda kind, text: mapped[kind, canonical(text)], None, options.filenames, options.phrases)
+        for batch in batches:
+            changed = [rewriter.row(row) for row in _rows(batch, fields)]
+            columns = list(batch.columns)
+            for f in fields:
+                i = batch.schema.get_field_index(f.name)
+                columns[i] = pa.array([_typed(r[f.name], f.dataType) for r in changed], batch.column(i).type)
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+
+    return df.mapInArrow(run, df.schema)
+
+
+def pseudonymise(df: DataFrame, policy: FieldPolicy, vault: Vault, record: int = 1_000_000, options: Options = Options()) -> DataFrame:
+    """`df` with identities replaced; new mappings are added to the vault, at most `record` of them (else an error, nothing added).
+
+    Command lines are masked in any case. With `options.filenames` file names, and what names the same file, are replaced first.
+    """
+    if options.filenames:
+        df = paths.linked_files(df, vault.seed, lambda f: f in policy)
+    found = staged(noted(df, policy, options), "noted")
+    told = mapping(found, vault)
+    entries = told.limit(record + len(vault.mappings) + 1).collect()
+    fresh = [r for r in entries if vault.get(r["kind"], r["original"]) is None]
+    if len(fresh) > record:
         raise VaultError(f"more than {record} new entities: raise the limit or keep the mapping as a table")
-    for r in sorted(rows):
-        vault.add(r["kind"], r["original"], r["pseudonym"])
-    return apply(df, fields, told)
+    vault.add_all((r["kind"], r["original"], r["pseudonym"]) for r in sorted(fresh))
+    return put_in(df, policy, {(r["kind"], r["key"]): r["pseudonym"] for r in entries}, options)

@@ -3,6 +3,7 @@ import hmac
 import json
 import os
 import stat
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -67,6 +68,64 @@ def test_families_link_users_across_rows(spark):
     assert len({r.AccountName for r in got} | {r.AccountUpn.split("@")[0] for r in got}) == 1
 
 
+def test_nothing_of_an_identity_is_left_under_the_built_in_policy(spark):
+    text = '{"AccountName":"ann31","n":1.10,"big":1e400,"list":[{"AccountUpn":"ann31@corp.test"}],"x":12345678901234567890}'
+    rows = [("ann31", "tool.exe --password s3cret31 -user ann31", "C:\\Users\\ann31\\x.txt", text, "run.exe", {"AccountName": "ann31", "k": "v"}, ["x"]), ("", None, " ", "plain", "notes.md", None, None)]
+    df = spark.createDataFrame(rows, "AccountName string, ProcessCommandLine string, FolderPath string, AdditionalFields string, FileName string, Extra map<string,string>, list array<string>")
+    vault = Vault(SEED)
+    got = P.pseudonymise(df, FieldPolicy(default_fields("DeviceProcessEvents")), vault).collect()
+    one, two = sorted(got, key=lambda r: r.FileName, reverse=True)
+    user = vault.get("username", "ann31")
+    assert not any("ann31" in json.dumps(r.asDict()) or "s3cret" in json.dumps(r.asDict()) for r in got)
+    assert one.AccountName == user and one.FolderPath == f"C:\\Users\\{user}\\x.txt" and one.FileName == "run.exe" and one.Extra == {"AccountName": user, "k": "v"}
+    assert one.AdditionalFields.startswith(f'{{"AccountName":"{user}","n":1.10,"big":1e400,"list":[{{"AccountUpn":"{user}@') and one.AdditionalFields.endswith('"x":12345678901234567890}')
+    assert (two.AccountName, two.ProcessCommandLine, two.FolderPath, two.AdditionalFields, two.FileName, two.Extra) == ("", None, " ", "plain", "notes.md", None)
+    named = P.pseudonymise(df, FieldPolicy(default_fields("DeviceProcessEvents")), Vault(SEED), options=P.Options(filenames=True)).collect()
+    assert not any(r.FileName in ("run.exe", "notes.md") for r in named)
+
+
+def test_blank_members_are_made_up_and_persons_follow_their_users(spark):
+    df = spark.createDataFrame([("ann", " ", "", "Ann Lee", 1), ("ann", "", "ann@x.test", "", 2), ("", "", "", "Ann Lee", 3), (None, None, None, "Bo Ek", 4), ("", "", "", "", 5)], "AccountName string, AccountUpn string, AccountEmailAddress string, AccountDisplayName string, n int")
+    vault = Vault(SEED)
+    got = {r.n: r for r in P.pseudonymise(df, FieldPolicy("account*"), vault).collect()}
+    user = vault.get("username", "ann")
+    assert got[1].AccountName == got[2].AccountName == user and got[1].AccountUpn.split("@")[0] == user and got[2].AccountEmailAddress.split("@")[0] == user
+    assert got[1].AccountDisplayName == got[2].AccountDisplayName == got[3].AccountDisplayName == vault.get("person", "ann lee")
+    assert got[3].AccountName and got[4].AccountName is None and got[4].AccountDisplayName != "Bo Ek" and got[5].AccountName == ""
+    outer = spark.createDataFrame([("a1", "", "b1@x.test")], "AccountName string, AccountUpn string, AccountEmailAddress string")
+    r = P.pseudonymise(outer, FieldPolicy("account*"), Vault(SEED)).first()
+    assert r.AccountName == r.AccountEmailAddress.split("@")[0]  # a blank between two members doesn't part them
+
+
+def test_addresses_stay_where_a_host_is_asked_for(spark):
+    df = spark.createDataFrame([("10.0.0.1", "fe80::1", "a.b.corp.test")], "DeviceName string, UrlDomain string, DnsDomain string")
+    r = P.pseudonymise(df, FieldPolicy("*"), Vault(SEED)).first()
+    assert (r.DeviceName, r.UrlDomain) == ("10.0.0.1", "fe80::1") and r.DnsDomain != "a.b.corp.test" and r.DnsDomain.count(".") >= 2
+
+
+def test_more_public_addresses_than_there_are_fail_at_once_and_full_ranges_fit(spark):
+    some = lambda n: spark.range(n).select(F.concat(F.lit("8.8."), (F.col("id") / 250).cast("int"), F.lit("."), F.col("id") % 250).alias("n"))
+    full = A.allocate(A.entities(some(762), "n"), "ip_address", SEED)
+    assert full.select("pseudonym").distinct().count() == 762
+    with pytest.raises(A.AllocationError):
+        A.allocate(A.entities(some(763), "n"), "ip_address", SEED).count()
+    taken = full.limit(700).select("pseudonym").persist()
+    rest = A.allocate(A.entities(some(62), "n"), "ip_address", SEED, taken)
+    assert rest.count() == 62 and rest.join(taken, "pseudonym").count() == 0
+    with pytest.raises(A.AllocationError):
+        A.allocate(A.entities(some(63), "n"), "ip_address", SEED, taken).count()
+
+
+def test_time_to_mask_grows_with_the_line():
+    def took(n):
+        line, began = "run " + " ".join(f"--password 's{i}' --x=\"y {i}\"" for i in range(n)), time.perf_counter()
+        assert M.mask(line).count("***") == n
+        return time.perf_counter() - began
+
+    took(100)
+    assert took(8000) < 20 * took(1000)
+
+
 def test_vault_round_trip_modes_and_conflicts(tmp_path):
     for irreversible in (False, True):
         path = str(tmp_path / f"vault{irreversible}")
