@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import datetime, timedelta
@@ -93,54 +95,74 @@ def first_buckets(total: int, limit: int, least: int = 2) -> int:
 def plan(df: DataFrame, limit: int = ROW_LIMIT, least: int = 2, byte_limit: int | None = None) -> Plan:
     """Doubles the number of buckets until each has fewer rows than `limit` (and bytes than `byte_limit`).
 
-    The key's number is computed once; rounds only change the modulus, over rows reduced to one number. Only counts
-    of at most `limit` buckets come to the driver.
+    Every number of buckets tried divides the largest, so rows are counted once at that one and counts are folded down:
+    a shuffle of at most `limit` rows per task, and at most `limit` counts at the driver.
     """
     if not 0 < limit <= LARGEST_ROW_LIMIT:
         raise CollectionError(f"the row limit must be 1 to {LARGEST_ROW_LIMIT}")
     size = F.octet_length(F.to_json(F.struct(*(F.col(f"`{c}`") for c in df.columns)))) if byte_limit else F.lit(0)
-    totals = df.agg(F.count(F.lit(1)), F.sum(size)).first()
-    total = totals[0]
-    if total < limit and (not byte_limit or (totals[1] or 0) <= byte_limit):
+    total, volume = df.agg(F.count(F.lit(1)), F.sum(size)).first()
+    if total < limit and (not byte_limit or (volume or 0) <= byte_limit):
         return Plan(total, None, (), ())
-    keyed = df.select(key_number(key_columns(df.schema)).alias("k"), size.alias("s")).groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.sum("s").alias("s")).persist()
-    try:
-        buckets, rounds = first_buckets(total, limit, least), []
-        while buckets <= limit:
-            rounds.append(buckets)
-            counts = keyed.groupBy((F.col("k") % buckets).alias("DumpPartition")).agg(F.sum("n").alias("Count"), F.sum("s").alias("bytes"))
-            worst = counts.agg(F.max("Count"), F.max("bytes")).first()
-            if worst[0] < limit and (not byte_limit or worst[1] <= byte_limit):
-                check_counts(counts, buckets, total)
-                return Plan(total, buckets, tuple((r[0], r[1]) for r in counts.orderBy("DumpPartition").collect()), tuple(rounds))
-            buckets *= 2
-        raise CollectionError(f"rows can't be divided into parts under {limit} rows with at most {limit} buckets")
-    finally:
-        keyed.unpersist()
+    tried = [first_buckets(total, limit, least)]
+    while tried[-1] * 2 <= limit:
+        tried.append(tried[-1] * 2)
+    if tried[0] <= limit:
+        number = key_number(key_columns(df.schema)) % tried[-1]
+        finest = df.select(number.alias("DumpPartition"), size.alias("s")).groupBy("DumpPartition").agg(F.count(F.lit(1)).alias("n"), F.sum("s").alias("s")).collect()
+        if (seen := sum(r["n"] for r in finest)) != total:
+            raise CollectionError(f"bucket counts sum to {seen}, not {total}")
+        for i, buckets in enumerate(tried):
+            rows: dict[int, int] = {}
+            sizes: dict[int, int] = {}
+            for r in finest:
+                at = r["DumpPartition"] % buckets
+                rows[at] = rows.get(at, 0) + r["n"]
+                sizes[at] = sizes.get(at, 0) + r["s"]
+            if max(rows.values()) < limit and (not byte_limit or max(sizes.values()) <= byte_limit):
+                return Plan(total, buckets, tuple(sorted(rows.items())), tuple(tried[: i + 1]))
+    raise CollectionError(f"rows can't be divided into parts under {limit} rows with at most {limit} buckets")
 
 
 def planned_rounds(df: DataFrame, rounds: Sequence[int], columns: Sequence[str] | None = None) -> DataFrame:
-    """(Buckets, DumpPartition, Count) for each number of buckets in one pass over the rows."""
-    number = df.select(key_number(columns or key_columns(df.schema)).alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias("n"))
-    each = number.select("n", F.explode(F.array(*(F.struct(F.lit(r).cast("long").alias("Buckets"), (F.col("k") % r).alias("DumpPartition")) for r in rounds))).alias("b"))
+    """(Buckets, DumpPartition, Count) for each number of buckets, counted once at a multiple of all of them and folded down."""
+    finest = math.lcm(*rounds)
+    counted = df.groupBy((key_number(columns or key_columns(df.schema)) % finest).alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    each = counted.select("n", F.explode(F.array(*(F.struct(F.lit(r).cast("long").alias("Buckets"), (F.col("k") % r).alias("DumpPartition")) for r in rounds))).alias("b"))
     return each.groupBy("b.Buckets", "b.DumpPartition").agg(F.sum("n").alias("Count"))
 
 
 def collect_to(df: DataFrame, path: str, made: Plan, columns: Sequence[str] | None = None) -> int:
-    """Writes the planned parts as Parquet, one folder a bucket, in one job; returns the rows written after comparing with the plan."""
-    if made.buckets is None:
-        df.write.mode("overwrite").parquet(path)
-    else:
-        with_bucket(df, made.buckets, columns).repartition(min(made.buckets, 2_000), "DumpPartition").write.mode("overwrite").partitionBy("DumpPartition").parquet(path)
-    back = df.sparkSession.read.parquet(path)
-    if made.buckets is not None:
-        seen = {r[0]: r[1] for r in back.groupBy("DumpPartition").count().collect()}
-        if any(seen.get(b, 0) != n for b, n in made.counts) or len(seen) != len(made.counts):
+    """Writes the planned parts as Parquet, one folder a bucket, in one job; returns the rows written after comparing with the plan.
+
+    A column DumpPartition that `df` brings is taken as it is: rows may have been rewritten since they were planned. Parts
+    are written beside `path`, checked, and only then put in its place, so a failure leaves earlier parts alone.
+    """
+    spark, temp = df.sparkSession, f"{path}.{uuid.uuid4().hex}.new"
+    files = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    at = lambda name: spark._jvm.org.apache.hadoop.fs.Path(name)
+    try:
+        if made.buckets is None:
+            df.write.parquet(temp)
+        else:
+            dealt = df if "DumpPartition" in df.columns else with_bucket(df, made.buckets, columns)
+            dealt.repartition(min(made.buckets, 2_000), "DumpPartition").write.partitionBy("DumpPartition").parquet(temp)
+        back = spark.read.parquet(temp)
+        kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields if f.name != "DumpPartition"}
+        if kinds != {f.name: f.dataType.simpleString() for f in back.schema.fields if f.name != "DumpPartition"}:
+            raise CollectionError("written parts differ from the result in columns or types")
+        if made.buckets is not None and {r[0]: r[1] for r in back.groupBy("DumpPartition").count().collect()} != dict(made.counts):
             raise CollectionError("written buckets differ from the plan")
-    written = back.count()
-    if written != made.total:
-        raise CollectionError(f"{written} rows written, {made.total} planned")
-    return written
+        written = back.count()
+        if written != made.total:
+            raise CollectionError(f"{written} rows written, {made.total} planned")
+        if files.exists(at(path)):
+            files.delete(at(path), True)
+        if not files.rename(at(temp), at(path)):
+            raise CollectionError(f"the checked parts can't be put at {path}")
+        return written
+    finally:
+        files.delete(at(temp), True)
 
 
 def count_reply(rows: list[dict]) -> int:

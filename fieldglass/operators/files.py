@@ -41,17 +41,24 @@ def _rows(df: DataFrame) -> Iterable[str]:
         yield r["j"]
 
 
-def write_envelope(df: DataFrame, path: str) -> None:
-    """One JSON envelope of schema and rows, streamed partition by partition."""
+def write_envelope(df: DataFrame, path: str, rows: int | None = None) -> int:
+    """One JSON envelope of schema and rows, streamed partition by partition; the number of rows, which must be `rows` if that is given: else no file appears."""
     schema = json.dumps([{"Name": f.name, "Type": L.declared_type(f.dataType)} for f in df.schema.fields])
 
+    written = 0
+
     def pieces():
+        nonlocal written
         yield f'{{"Schema": {schema}, "Results": ['.encode()
-        for i, row in enumerate(_rows(df)):
-            yield (",\n" if i else "\n").encode() + row.encode()
+        for row in _rows(df):
+            yield (",\n" if written else "\n").encode() + row.encode()
+            written += 1
+        if rows is not None and written != rows:
+            raise ValueError(f"{written} rows came, {rows} were counted")
         yield b"\n]}\n"
 
     write_atomically(path, pieces())
+    return written
 
 
 def write_lines(df: DataFrame, path: str) -> None:
@@ -59,6 +66,20 @@ def write_lines(df: DataFrame, path: str) -> None:
     write_atomically(path, ((row + "\n").encode() for row in _rows(df)))
 
 
+def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
+    """One JSON document of a graph's nodes and edges, streamed."""
+
+    def pieces():
+        for i, (name, df) in enumerate((("nodes", nodes), ("edges", edges))):
+            yield ((", " if i else '{"graph": {') + f'"{name}": [').encode()
+            for k, row in enumerate(_rows(df)):
+                yield (",\n" if k else "\n").encode() + row.encode()
+            yield b"]"
+        yield b"}}\n"
+
+    write_atomically(path, pieces())
+
+
 def sidecars(path: str) -> tuple[str, str]:
     """Names of the line file and of the schema script beside an output."""
     base = path[: -len(".json")] if path.endswith(".json") else path

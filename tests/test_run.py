@@ -1,10 +1,11 @@
+import json
 from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
 from fieldglass import streaming
-from fieldglass.operators import config, manifest, paths, run
+from fieldglass.operators import collect, config, files, manifest, paths, run
 from fieldglass.operators.vault import Vault
 from fieldglass.sources.envelopes import Tables, read_named
 
@@ -31,6 +32,33 @@ def test_pseudonymised_collection_saves_the_vault(spark, tmp_path):
     assert "ann" not in text and "pc1" not in text and Vault.open(str(tmp_path / "v.json")).get("username", "ann") in text
 
 
+@pytest.mark.parametrize("with_vault", [False, True])
+def test_collections_in_buckets_with_and_without_pseudonyms(spark, tmp_path, with_vault):
+    rows = [(datetime(2024, 1, 2), f"user{i}", f"pc{i % 7}.corp.test", i) for i in range(500)]
+    spark.createDataFrame(rows, "t timestamp, AccountName string, DeviceName string, n long").write.parquet(str(tmp_path / "T.parquet"))
+    vault, out = Vault(b"k" * 32) if with_vault else None, str(tmp_path / "o.json")
+    p = run.collect_table(Tables(spark, str(tmp_path)), "T", "t", "5d", datetime(2024, 1, 5), out, limit=60, vault=vault, vault_path=str(tmp_path / "v.json"), sidecars=True)
+    assert p.total == 500 and p.buckets > 8 and all(0 < n < 60 for _, n in p.counts)
+    parts = spark.read.parquet(out + ".parts")
+    assert {r[0]: r[1] for r in parts.groupBy("DumpPartition").count().collect()} == dict(p.counts)
+    assert parts.select("n", "AccountName").distinct().count() == 500 and (parts.filter("AccountName = 'user1'").count() == 0) is with_vault
+    assert read_named(spark, out).count() == 500 and len((tmp_path / "o.rows.json").read_text().splitlines()) == 500
+    assert (tmp_path / "o.rows.kql").read_text().startswith(".create-merge table o (")
+    with pytest.raises(collect.CollectionError):  # what was there stays if a check fails
+        collect.collect_to(spark.range(3), out + ".parts", collect.Plan(4, None, (), ()))
+    assert spark.read.parquet(out + ".parts").count() == 500 and not [x for x in tmp_path.iterdir() if x.name.endswith(".new")]
+    with pytest.raises(ValueError):
+        files.write_envelope(parts, out, 499)
+
+
+def test_graph_files_are_written(spark, tmp_path):
+    rows = [("a", "User", "Ann", "b", "Machine", "pc", "owns")]
+    spark.createDataFrame(rows, "SourceNodeId string, SourceNodeLabel string, SourceNodeName string, TargetNodeId string, TargetNodeLabel string, TargetNodeName string, EdgeLabel string").write.parquet(str(tmp_path / "G.parquet"))
+    run.collect_query(Tables(spark, str(tmp_path)), "G | take 5", "g", str(tmp_path / "g.json"), graph_files=True)
+    made = json.loads((tmp_path / "g.graph.json").read_text())["graph"]
+    assert len(made["nodes"]) == 2 and len(made["edges"]) == 1 and len((tmp_path / "g.icons.json").read_text().splitlines()) >= 2
+
+
 def test_file_families_paths_and_prose(spark):
     df = spark.createDataFrame([("Run.exe", "C:\\tools\\run.exe", "run --password x RUN.EXE runner", "other.dll")], "FileName string, FolderPath string, ProcessCommandLine string, InitiatingProcessFileName string")
     r = paths.linked_files(df, b"k" * 32).first()
