@@ -23,7 +23,7 @@ CORES = {
 SQL = {n: rf"\b{CORES[n]}\b" for n in ("email", "sid", "guid", "mac", "ipv4", "phone")}
 PYTHON = {n: re.compile(rf"\b{p}\b", re.ASCII) for n, p in CORES.items()}
 #: File-like endings that no domain has (fixed values).
-NOT_DOMAINS = frozenset("exe dll sys bat cmd ps1 psm1 vbs js jse wsf msi msp cab zip rar gz tar txt log ini cfg conf xml json yaml yml csv doc docx xls xlsx ppt pptx pdf png jpg jpeg gif bmp ico tmp dat".split())
+NOT_DOMAINS = frozenset("bak bat bin cfg cmd conf csv dll doc docx env exe gif gz ini jpeg jpg js json kql lock log md msi pdf png ps1 py sh sql svg tar tmp toml ts txt xls xlsx xml yaml yml zip".split())
 
 
 def matches(name: str, c: Column) -> Column:

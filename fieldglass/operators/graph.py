@@ -91,19 +91,27 @@ def endpoint_nodes(df: DataFrame) -> DataFrame:
 def merged(found: DataFrame) -> DataFrame:
     """One node per id: kinds in order of first mention, name and properties from the first row that has them.
 
-    Kinds and properties are exploded and pre-aggregated per (id, value), so an id with very many rows shrinks to its
-    distinct kinds and keys before its row is built.
+    Rows become one entry for each kind, property and name, and these are reduced to the first of each (id, sort, key)
+    before an id's row is built, so an id with very many rows shrinks to its distinct kinds and keys within each task.
     """
-    firsts = found.select("id", "ord", F.posexplode("kinds").alias("pos", "kind")).groupBy("id", "kind").agg(F.min(F.struct("ord", "pos")).alias("at"))
-    kind_lists = firsts.groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "kind"))), lambda x: x["kind"]).alias("kinds"))
-    names = found.groupBy("id").agg(F.min_by("name", F.struct("ord", "name")).alias("name"))
-    entries = found.select("id", "ord", F.explode("properties").alias("key", "value")).groupBy("id", "key").agg(F.min_by("value", F.struct("ord", "value")).alias("value"))
-    props = entries.groupBy("id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("key", "value")))).alias("properties"))
-    return kind_lists.join(names, "id").join(props, "id", "left")
+    entry = lambda sort, key, value, ord_, pos: F.struct(F.lit(sort).alias("sort"), key.alias("key"), F.struct(ord_.alias("ord"), pos.alias("pos"), value.alias("value")).alias("first"))
+    none = F.lit(0)
+    kinds = F.transform("kinds", lambda k, i: entry("kind", k, F.lit(None).cast("string"), F.col("ord"), i))
+    held = F.transform(F.map_entries("properties"), lambda e: entry("property", e["key"], e["value"], F.col("ord"), none))
+    named = F.array(entry("name", F.lit(""), F.col("name"), F.col("ord"), none))
+    each = found.select("id", F.explode(F.concat(*(F.coalesce(x, F.array().cast(f"array<struct<sort:string,key:string,first:struct<ord:bigint,pos:int,value:string>>>")) for x in (kinds, held, named)))).alias("e"))
+    firsts = each.groupBy("id", F.col("e.sort").alias("sort"), F.col("e.key").alias("key")).agg(F.min("e.first").alias("first"))
+    of = lambda sort, value: F.collect_list(F.when(F.col("sort") == sort, value))
+    rows = firsts.groupBy("id").agg(
+        F.transform(F.sort_array(of("kind", F.struct("first.ord", "first.pos", "key"))), lambda x: x["key"]).alias("kinds"),
+        F.max(F.when(F.col("sort") == "name", F.col("first.value"))).alias("name"),
+        F.sort_array(of("property", F.struct("key", "first.value"))).alias("held"),
+    )
+    return rows.select("id", "kinds", "name", F.when(F.size("held") > 0, F.map_from_entries("held")).alias("properties"))
 
 
 def properties(df: DataFrame, columns: list[str]) -> Column:
-    """A map of sanitised names to text: structs flattened with underscores, arrays as JSON, nulls left out, a repeated name numbered."""
+    """A map of sanitised names to text: structs flattened with underscores, arrays as JSON, nulls left out; of different texts with one name the later are numbered."""
     from pyspark.sql import types as T
 
     entries: list[tuple[str, Column]] = []
@@ -119,12 +127,14 @@ def properties(df: DataFrame, columns: list[str]) -> Column:
 
     for c in columns:
         walk(c, F.col(f"`{c}`"), df.schema[c].dataType)
-    seen: dict[str, int] = {}
-    pairs = []
+    named: dict[str, list[Column]] = {}
     for path, value in entries:
-        name = _clean(path)
-        seen[name] = seen.get(name, 0) + 1
-        pairs.append(F.struct(F.lit(name if seen[name] == 1 else f"{name}_{seen[name]}").alias("key"), value.alias("value")))
+        named.setdefault(_clean(path), []).append(value)
+    pairs = []
+    for name, values in named.items():
+        # of paths with one name, each text once and nulls not at all; the first there keeps the name, others are numbered
+        texts = F.array_distinct(F.filter(F.array(*values), lambda v: v.isNotNull()))
+        pairs += [F.struct(F.lit(name if i == 0 else f"{name}_{i + 1}").alias("key"), F.get(texts, F.lit(i)).alias("value")) for i in range(len(values))]
     if not pairs:
         return F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
     return F.map_from_entries(F.filter(F.array(*pairs), lambda p: p["value"].isNotNull()))

@@ -27,31 +27,57 @@ _TABLES = {
 }
 #: Fields with general names that hold identities in these tables alone.
 _EXTRA = {
-    "user": "abapchangedocslog abapuserdetails asimassetentitylogs awsekslogs linuxauditlog",
-    "user,host": "abapauditlog abaptabledatalog",
-    "user,processname": "asimalerteventlogs",
-    "lastmodifiedby,resolvedby": "alert",
-    "remoteurl": "alertevidence behaviorentities deviceevents devicenetworkevents sentinelbehaviorentities",
-    "actingprocessname": "asimfileeventlogs",
-    "actingprocessname,parentprocessname,targetprocessname": "asimprocesseventlogs",
-    "actingprocessname,parentprocessname": "asimregistryeventlogs",
-    "clientprovidedhostheader": "awscloudtrail",
-    "queryname": "awsroute53resolver gcpdns",
-    "resource": "azureactivity azurediagnostics azuremetrics heartbeat",
-    "actorname,actorprincipalname,device": "behavioranalytics",
-    "parentprocessname,processname": "cloudprocessevents",
-    "actorname": "communicationcomplianceactivity copilotactivity powerappsactivity powerautomateactivity powerbiactivity powerplatformadminactivity powerplatformconnectoractivity powerplatformdlpactivity",
-    "assignedtoname": "crowdstrikealerts crowdstrikedetections crowdstrikeincidents",
-    "lastloginuser": "crowdstrikehosts",
-    "name,zonefile": "dnsauditevents",
-    "userid": "dynamics365activity microsoftpurviewinformationprotection officeactivity",
-    "alternatesigninname": "aadnoninteractiveusersigninlogs entraidsigninevents signinlogs",
-    "subscriptionidentity": "graphnotificationsactivitylogs",
-    "resourcesubid": "ilumioinsights",
-    "actorname,onbehalfofresid": "projectactivity",
-    "createdbyname": "salesforceaudittrail",
-    "account,callerprocessname,clientname,newprocessname,parentprocessname,processname,targetaccount,workstation,userworkstations": "securityevent",
-    "host,matchedhost": "sentinelalibabacloudwaflogs",
+    "aadnoninteractiveusersigninlogs": "alternatesigninname",
+    "abapauditlog": "user,host",
+    "abapchangedocslog": "user",
+    "abaptabledatalog": "user,host",
+    "abapuserdetails": "user",
+    "alert": "lastmodifiedby,resolvedby",
+    "alertevidence": "remoteurl",
+    "asimalerteventlogs": "user,processname",
+    "asimassetentitylogs": "user",
+    "asimfileeventlogs": "actingprocessname",
+    "asimprocesseventlogs": "actingprocessname,parentprocessname,targetprocessname",
+    "asimregistryeventlogs": "actingprocessname,parentprocessname",
+    "awscloudtrail": "clientprovidedhostheader",
+    "awsekslogs": "user",
+    "awsroute53resolver": "queryname",
+    "azureactivity": "resource",
+    "azurediagnostics": "resource",
+    "azuremetrics": "resource",
+    "behavioranalytics": "actorname,actorprincipalname,device",
+    "behaviorentities": "remoteurl",
+    "cloudprocessevents": "parentprocessname,processname",
+    "communicationcomplianceactivity": "actorname",
+    "copilotactivity": "actorname",
+    "crowdstrikealerts": "assignedtoname",
+    "crowdstrikedetections": "assignedtoname",
+    "crowdstrikehosts": "lastloginuser",
+    "crowdstrikeincidents": "assignedtoname",
+    "deviceevents": "remoteurl",
+    "devicenetworkevents": "remoteurl",
+    "dnsauditevents": "name,zonefile",
+    "dynamics365activity": "userid",
+    "entraidsigninevents": "alternatesigninname",
+    "gcpdns": "queryname",
+    "graphnotificationsactivitylogs": "subscriptionidentity",
+    "heartbeat": "resource",
+    "ilumioinsights": "resourcesubid",
+    "linuxauditlog": "user",
+    "microsoftpurviewinformationprotection": "userid",
+    "officeactivity": "userid",
+    "powerappsactivity": "actorname",
+    "powerautomateactivity": "actorname",
+    "powerbiactivity": "actorname",
+    "powerplatformadminactivity": "actorname",
+    "powerplatformconnectoractivity": "actorname",
+    "powerplatformdlpactivity": "actorname",
+    "projectactivity": "actorname,onbehalfofresid",
+    "salesforceaudittrail": "createdbyname",
+    "securityevent": "account,callerprocessname,clientname,newprocessname,parentprocessname,processname,targetaccount,workstation,userworkstations",
+    "sentinelalibabacloudwaflogs": "host,matchedhost",
+    "sentinelbehaviorentities": "remoteurl",
+    "signinlogs": "alternatesigninname",
 }
 
 
@@ -59,8 +85,7 @@ def default_fields(table: str) -> str:
     """The built-in field patterns of a table, or those for tables that aren't known."""
     name = table.strip().lower()
     groups = next((g for g, tables in _TABLES.items() if name in tables.split()), _ALL)
-    extra = [f for f, tables in _EXTRA.items() if name in tables.split()]
-    return ",".join([*(_GROUPS[g] for g in groups.split()), *extra])
+    return ",".join([*(_GROUPS[g] for g in groups.split()), *([_EXTRA[name]] if name in _EXTRA else [])])
 
 
 class FieldPolicy:

@@ -41,6 +41,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """A scan of fewer partitions than there are cores, dealt out over all of them before a scanner in Python."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.window(table(spark, sf_dir, "events"), "ts", LOOKBACK, CUTOFF)
 
@@ -406,7 +412,7 @@ def command_lines_masked(spark, sf_dir):
     """The whole scanner over all texts; tests hold it against cases of its own."""
     from fieldglass.operators import command_lines as M
 
-    return table(spark, sf_dir, "documents").select("doc_id", M.masked(F.col("text")).alias("text"))
+    return dealt(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", M.masked(F.col("text")).alias("text"))
 
 
 @_query("""SELECT * FROM (VALUES ('AccountName', 'username'), ('DeviceName', 'hostname'), ('SHA256', NULL), ('RemoteIP', 'ip_address'), ('SenderFromAddress', 'email'), ('AccountSid', 'sid'), ('ProcessId', 'sid'), ('ReportId', 'identifier'), ('FileName', 'filename'), ('AccountDisplayName', 'person'), ('ResourceGroup', 'resource_group'), ('UserDomain_s', 'domain')) v(field, kind)""")
@@ -440,6 +446,30 @@ def manifest_status(spark, sf_dir):
     return M.table_statuses(R.union(*parts))
 
 
+@_query(r"""SELECT c_custkey, 'run --password *** --level 3' AS command, 'run.exe' AS file, 'C:\Users\' AS folder_start, '\x.txt' AS folder_end, true AS one_user, true AS address_agrees,
+  '1.10' AS number, true AS nested_agrees, false AS shown, c_mktsegment AS note FROM customer""")
+def pseudonymised_rows(spark, sf_dir):
+    """A table of account, address, path, command line and JSON under the built-in policy: what is fixed of each row, and that parts of one user agree everywhere."""
+    from fieldglass.operators import pseudonyms
+    from fieldglass.operators.policy import FieldPolicy, default_fields
+    from fieldglass.operators.vault import Vault
+
+    name, key = F.concat(F.lit("user"), "c_custkey"), F.col("c_custkey").cast("string")
+    rows = table(spark, sf_dir, "customer").select(
+        "c_custkey", name.alias("AccountName"), F.concat(name, F.lit("@corp.test")).alias("AccountUpn"), F.lit("run.exe").alias("FileName"), F.col("c_mktsegment").alias("note"),
+        F.concat(F.lit("C:\\Users\\"), name, F.lit("\\x.txt")).alias("FolderPath"), F.concat(F.lit("run --password s"), key, F.lit(" --level 3")).alias("ProcessCommandLine"),
+        F.concat(F.lit('{"AccountName":"'), name, F.lit('","n":1.10}')).alias("AdditionalFields"),
+    )
+    out = pseudonyms.pseudonymise(rows, FieldPolicy(default_fields("DeviceProcessEvents")), Vault(SEED))
+    user, json = F.col("AccountName"), F.col("AdditionalFields")
+    texts = F.concat_ws(" ", "AccountName", "AccountUpn", "FolderPath", "ProcessCommandLine", "AdditionalFields")
+    return out.select(
+        "c_custkey", F.col("ProcessCommandLine").alias("command"), F.col("FileName").alias("file"), F.substring("FolderPath", 1, 9).alias("folder_start"), F.substring("FolderPath", -6, 6).alias("folder_end"),
+        (F.regexp_extract("FolderPath", r"Users\\([^\\]+)", 1) == user).alias("one_user"), (F.substring_index("AccountUpn", "@", 1) == user).alias("address_agrees"),
+        F.regexp_extract(json, r'"n":([0-9.]+)', 1).alias("number"), (F.get_json_object(json, "$.AccountName") == user).alias("nested_agrees"), texts.contains(name).alias("shown"), "note",
+    )
+
+
 @_query("""SELECT * FROM (VALUES (1, true, true, 3), (2, true, true, 3)) v(run, distinct_names, stable, columns)""")
 def pseudonymised_customers(spark, sf_dir):
     """Customer names as persons in a table of their own: all distinct, and a second run over a vault gives the same."""

@@ -244,8 +244,6 @@ class Planner:
         if name == "pack":
             fields = [F.struct(k.cast("string").alias("k"), F.to_json(F.struct(v.alias("v")), {"ignoreNullFields": "false"}).alias("v")) for k, v in zip(a[::2], a[1::2], strict=True)]
             return F.concat(F.lit("{"), F.concat_ws(",", *(F.concat(F.lit('"'), f["k"], F.lit('":'), F.regexp_extract(f["v"], r"(?s)^\{\"v\":(.*)\}$", 1)) for f in fields)), F.lit("}"))
-        if name == "any":
-            return F.any_value(F.when(S.isnotempty(a[0]), a[0]), True)
         if name not in simple:
             raise QueryError(f"function {name} isn't supported")
         return simple[name](*a)
