@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -12,42 +10,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fieldglass.operators.staging import discard as discard
+from fieldglass.operators.staging import shared_dir as shared_dir
+from fieldglass.operators.staging import staged as staged
+
 #: Text handed to one vectorised step, in bytes; longer documents form a chunk of their own.
 CHUNK_BYTES = 2 << 20
 
 
-#: Spark's setting that deletes shuffle files as soon as the execution that wrote them ends.
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir. Where it is unset, one of our own on a single machine; a cluster without it is an error."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = spark.conf.get("spark.fieldglass.checkpoint.dir", None)
-        if not root:
-            if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-            root = "file://" + tempfile.mkdtemp(prefix="fieldglass-")
-            spark.conf.set("spark.fieldglass.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/fieldglass/{spark.sparkContext.applicationId}"
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Writes a table to the shared folder and reads it back: lineage ends there, and lost executors lose nothing.
-
-    The shuffle files of the write go when it ends, as nothing reads them again.
-    """
-    spark = df.sparkSession
-    path, before = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
-    try:
-        df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.set(_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def tidied(step: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """A function for mapInArrow that gives freed memory back when its task ends: Python workers live on between tasks."""
 
@@ -68,14 +38,6 @@ def give_back() -> None:
         trim(0)
 
 
-def discard(df: DataFrame) -> None:
-    """Deletes the files of a staged table that nothing will read again."""
-    spark = df.sparkSession
-    for name in df.inputFiles()[:1]:
-        folder = spark._jvm.org.apache.hadoop.fs.Path(name).getParent()
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
-
-
 def hidden(df: DataFrame) -> str:
     """A prefix for helper columns that no column of `df` begins with."""
     prefix = "__"
