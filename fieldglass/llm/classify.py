@@ -15,6 +15,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,17 +46,18 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, features: nbsvm.Features
     ids = spark.createDataFrame(chosen, f"__own {docs.schema[key].dataType.simpleString()}, label int")
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [r.tobytes() for r in features(batch.column(0).to_pylist())]
-        return pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), batch.column(1), batch.column(2)], names=["buckets", "label", "order"])
+        found = features(batch.column(0).to_pylist())
+        packed = [zstandard.ZstdCompressor().compress(np.diff(r, prepend=r.dtype.type(0)).tobytes()) for r in found]
+        return pa.RecordBatch.from_arrays([pa.array(packed, pa.binary()), pa.array([r.nbytes for r in found], pa.int64()), batch.column(1), batch.column(2)], names=["buckets", "size", "label", "order"])
 
     # at most `sample` ids: a bounded broadcast; of rows that share an id the one with the smallest digest, so at most as many rows back
     matched = docs.select(F.col(key).alias("__id"), text_column(text).alias("__text")).join(F.broadcast(ids), F.col("__id") == F.col("__own"))
-    rows = over_text(matched.select("__text", "label", F.xxhash64("__id").alias("order")), step, "buckets binary, label int, order long", "__text")
-    rows = staged(rows.groupBy("order", "label").agg(F.min_by("buckets", F.md5("buckets")).alias("buckets")), "fit")
-    sizes = sorted(rows.select("order", F.octet_length("buckets")).collect())
+    rows = over_text(matched.select("__text", "label", F.xxhash64("__id").alias("order")), step, "buckets binary, size long, label int, order long", "__text")
+    rows = staged(rows.groupBy("order", "label").agg(F.min_by("buckets", F.md5("buckets")).alias("buckets"), F.min_by("size", F.md5("buckets")).alias("size")), "fit")
+    sizes = sorted(tuple(r) for r in rows.select("order", "size").collect())
     last = max((o for (o, _), n in zip(sizes, np.cumsum([n for _, n in sizes])) if n <= FIT_BYTES), default=sizes[0][0] if sizes else 0)
     rows = sorted(rows.filter(F.col("order") <= last).collect(), key=lambda r: (r["order"], r["buckets"]))
-    return nbsvm.fit([np.frombuffer(r["buckets"], np.int32) for r in rows], np.array([1 if r["label"] == 1 else -1 for r in rows]), share)
+    return nbsvm.fit([np.cumsum(np.frombuffer(zstandard.ZstdDecompressor().decompress(r["buckets"]), np.int32), dtype=np.int32) for r in rows], np.array([1 if r["label"] == 1 else -1 for r in rows]), share)
 
 
 def score(docs: DataFrame, model: nbsvm.Model, features: nbsvm.Features, threshold: float, key: str = "doc_id", text: str = "text") -> DataFrame:
