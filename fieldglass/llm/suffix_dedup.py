@@ -232,9 +232,10 @@ def _cut(batch: pa.RecordBatch, width: int, as_text: bool, own: list[str]) -> pa
 def intervals(long: DataFrame, width: int, keep_first: bool) -> DataFrame:
     """(digest, intervals) for texts (digest, __text, __key) of at least `width` bytes: the windows s..e to remove."""
     rows = staged(_anchor_rows(long.select("digest", "__text"), width), "anchors")
-    twice = rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor")
+    twice = staged(rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor"), "twice")
     wanted = staged(rows.join(twice, "anchor").groupBy("digest").agg(F.collect_set(F.struct("anchor", "place", "first", "last")).alias("wanted")), "wanted")
     discard(rows)
+    discard(twice)
     texts = long.select("digest", "__text").join(wanted.hint("shuffle_hash"), "digest").select("digest", "__text", "wanted")
     cut = staged(_contexts(texts, width), "contexts")
     discard(wanted)
