@@ -9,7 +9,8 @@ placeholder. The loss mask covers the text of assistant turns: spans of code poi
 
 Turns are ordered by turn, null first, and for equal turns by role and content. Null text is empty and still a turn; a
 null role is the empty role; rows with a null conversation id form one conversation. Repeated rows are repeated turns.
-Unknown part types become placeholders of no tokens. Extra columns are ignored. No rows give no conversations.
+Unknown part types become placeholders of no tokens. Typed content that isn't a JSON list is one text, parts that aren't
+objects are texts, and sizes that aren't numbers count as 0. Extra columns are ignored. No rows give no conversations.
 Turns reach their conversation through a partial collect; one conversation is one output row, so it must fit a row.
 """
 
@@ -65,12 +66,13 @@ class Visitor:
         self.write(CLOSE)
 
     def visit(self, part: dict | str) -> None:
-        part = {"type": "text", "text": part} if isinstance(part, str) else part
-        getattr(self, f"visit_{part.get('type')}", self.visit_other)(part)
+        part = part if isinstance(part, dict) else {"type": "text", "text": _string(part)}
+        kinds = {"text": self.visit_text, "image": self.visit_image, "audio": self.visit_audio, "document": self.visit_document}
+        kinds.get(part.get("type") if isinstance(part.get("type"), str) else "", self.visit_other)(part)
 
     def visit_text(self, part: dict) -> None:
         start = self.at
-        self.write(escape(part.get("text") or ""))
+        self.write(escape(_string(part.get("text"))))
         if self.learning and self.at > start:
             if self.spans and self.spans[-1][1] == start:
                 self.spans[-1] = (self.spans[-1][0], self.at)
@@ -78,29 +80,45 @@ class Visitor:
                 self.spans.append((start, self.at))
 
     def attach(self, kind: str, part: dict, tokens: int) -> None:
-        self.attachments.append((len(self.attachments) + 1, kind, part.get("ref"), tokens))
+        self.attachments.append((len(self.attachments) + 1, kind, None if part.get("ref") is None else _string(part["ref"]), tokens))
         self.write(f"<|{escape(kind)} {len(self.attachments)}|>")
 
     def visit_image(self, part: dict) -> None:
-        self.attach("image", part, math.ceil((part.get("width") or 0) / PATCH) * math.ceil((part.get("height") or 0) / PATCH))
+        self.attach("image", part, math.ceil(_number(part, "width") / PATCH) * math.ceil(_number(part, "height") / PATCH))
 
     def visit_audio(self, part: dict) -> None:
-        self.attach("audio", part, math.ceil((part.get("seconds") or 0) * PER_SECOND))
+        self.attach("audio", part, math.ceil(_number(part, "seconds") * PER_SECOND))
 
     def visit_document(self, part: dict) -> None:
-        self.attach("document", part, (part.get("pages") or 0) * PER_PAGE)
-        for inner in part.get("parts") or ():
-            self.visit(inner)
+        self.attach("document", part, math.ceil(_number(part, "pages")) * PER_PAGE)
+        inner = part.get("parts")
+        for each in inner if isinstance(inner, list) else ():
+            self.visit(each)
 
     def visit_other(self, part: dict) -> None:
         self.attach(str(part.get("type")), part, 0)
 
 
 def parts_of(content: str | None, typed: bool) -> list[dict]:
-    """A turn's parts: plain content is one text; typed content is a JSON list of parts (or of strings)."""
-    if not typed:
-        return [{"type": "text", "text": content or ""}]
-    return json.loads(content or "[]")
+    """A turn's parts: plain content is one text; typed content is a JSON list of parts (or of strings), and one text where it isn't."""
+    if typed:
+        try:
+            parts = json.loads(content or "[]")
+        except (ValueError, RecursionError):
+            parts = None
+        if isinstance(parts, list):
+            return parts
+    return [{"type": "text", "text": content or ""}]
+
+
+def _number(part: dict, name: str) -> float:
+    """A size that a part tells; 0 where it tells none, or something else than a finite number of 0 or more."""
+    value = part.get(name)
+    return value if isinstance(value, (int, float)) and not isinstance(value, bool) and 0 <= value < 2**40 else 0
+
+
+def _string(value) -> str:
+    return "" if value is None else value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
 
 
 def format_conversations(rows: DataFrame, conversation: str = "conv_id", turn: str = "turn", role: str = "role", content: str = "text", typed: bool = False) -> DataFrame:
