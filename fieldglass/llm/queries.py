@@ -57,7 +57,7 @@ def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Removal of every byte that a repeating 400-byte string covers."""
-    docs = _documents(spark, sf_dir)
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")  # read several times: not dealt out
     return suffix_dedup.remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), (F.col("n_removed") > 0).alias("removed"))
 
 
@@ -114,7 +114,7 @@ FROM f GROUP BY conv_id
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every text and its edited text, and their likeness to each other and to the next document's."""
     f = fingerprints
-    rows = f.with_edit(f.with_next(_documents(spark, sf_dir)))
+    rows = f.with_edit(f.with_next(read_table(spark, sf_dir, "documents").select("doc_id", "text")))
     return rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), f.as_text(F.col("sketch")).alias("fingerprint"), f.as_text(F.col("edited_sketch")).alias("edited_fingerprint"), f.resemblance(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"), f.resemblance(F.col("sketch"), F.col("next_sketch")).alias("near_next"))
 
 

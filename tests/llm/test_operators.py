@@ -4,11 +4,13 @@ import hashlib
 import inspect
 import math
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from fieldglass.llm import bm25, bpe, bpe_coding, chat, classify, decontaminate, fingerprints, lm_score, minhash_dedup, nbsvm, ngram_trie, queries, shingles, suffix_dedup, suffixes, token_counts
@@ -361,6 +363,10 @@ def test_typed_parts_become_placeholders(spark):
     assert [(a.ordinal, a.kind, a.reference, a.tokens) for a in r.attachments] == [(1, "image", "a.png", 4), (2, "document", "d.pdf", 512), (3, "audio", "s.wav", 38), (4, "video", "v", 0)]
     assert r.expanded_tokens == 554 and [r.formatted[s.start : s.end] for s in r.loss_spans] == ["see \\l1>", "in it"]
     assert chat.format_conversations(df.limit(0)).collect() == []
+    odd = spark.createDataFrame([(1, 0, "user", "not json"), (1, 1, "user", '{"a":1}'), (1, 2, "user", '[5,{"type":"image","width":"wide","height":2},{"type":["x"]},{"text":3,"type":"text"},{"type":"document","parts":7,"ref":9},null]'), (1, 3, "assistant", "x" * 3_000_000)], "conv_id int, turn int, role string, text string")
+    r = chat.format_conversations(odd.withColumn("formatted", F.lit("clash")).withColumn("turns", F.lit(1)), typed=True).first()
+    assert r.formatted.startswith("### user: not json</turn>\n### user: {\"a\":1}</turn>\n### user: 5<|image 1|><|") and r.expanded_tokens == 0 and r.attachments[2].reference == "9"
+    assert [(s.end - s.start) for s in r.loss_spans] == [3_000_000]
     nulls = spark.createDataFrame([(None, None, None, None), (None, 1, "user", "x")], "conv_id int, turn int, role string, text string")
     assert chat.format_conversations(nulls).first().formatted == "### : </turn>\n### user: x</turn>\n"
 
@@ -465,6 +471,72 @@ def test_fingerprints(spark, edge, empty):
     assert fingerprints.with_next(empty).collect() == []
 
 
+def test_sketches_equal_plain_hashing(spark, sf):
+    def plain(text):
+        words = [w for w in re.split("[ \t-\r]+", text.lower()) if w]
+        found = set()
+        for i in range(max(1, len(words) - 4) if words else 0):
+            h = 42
+            for w in words[i : i + 5]:
+                h = xxhash.xxh64_intdigest(w.encode(), h)
+            found.add(h - (1 << 64) if h >> 63 else h)
+        return sorted(found)[:128]
+
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    ids = sorted(texts)
+    near = lambda a, b: (lambda union: 1.0 if not a and not b else 0.0 if not a or not b else len(set(union) & set(a) & set(b)) / len(union))(sorted({*a, *b})[:128])
+    got = queries.QUERIES["op1_fingerprints"](spark, sf).collect()
+    assert sorted(r.doc_id for r in got) == ids
+    for r in got:
+        text, following = texts[r.doc_id], texts[ids[(ids.index(r.doc_id) + 1) % len(ids)]]
+        cut = len(text) // 4
+        edited = text[: len(text) - cut] + following[:cut]
+        own, other, after = plain(text), plain(edited), plain(following)
+        assert r.n_chars == len(text) and r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+        assert r.fingerprint == ",".join(f"{h & (2**64 - 1):X}" for h in own) and r.edited_fingerprint == ",".join(f"{h & (2**64 - 1):X}" for h in other)
+        assert r.near_edited == pytest.approx(near(own, other)) and r.near_next == pytest.approx(near(own, after))
+
+
+def test_registered_queries_equal_the_library_and_brute_force(spark, sf):
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(PATH)
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    ids = {i: lib.encode(t, add_special_tokens=False).ids for i, t in texts.items()}
+    digest = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    coded = {tuple(r) for r in queries.QUERIES["op2_bpe_coding"](spark, sf).collect()}
+    assert coded == {(i, len(k), digest(",".join(map(str, k))), digest(lib.decode(k, skip_special_tokens=False))) for i, k in ids.items()}
+    assert {tuple(r) for r in queries.QUERIES["op10_token_counts"](spark, sf).collect()} == {(i, len(t.encode()), len(ids[i]), len(ids[i]) > 512) for i, t in texts.items()}
+    removed = queries.QUERIES["op7_suffix_dedup"](spark, sf)
+    assert removed.filter("removed != (n_removed > 0)").isEmpty() and rows_of(removed.drop("removed")) == _repeats(list(texts.items()), 400, False)
+    items = spark.read.parquet(f"{sf}/benchmark.parquet").collect()
+    found = {(r.doc_id, r.item_id) for r in queries.QUERIES["op4_decontaminate"](spark, sf).collect()}
+    assert {(i, b.item_id) for i, t in texts.items() for b in items if b.text in t} <= found and found
+
+
+def test_weights_equal_a_plain_model():
+    rnd = np.random.default_rng(2)
+    rows = [np.unique(rnd.integers(0, 64, 6)).astype(np.int32) for _ in range(60)]
+    labels = np.where([5 in r or 9 in r for r in rows], 1, -1)
+    r = nbsvm.ratios(rows, labels, 6)
+    n1, n0 = (labels > 0).sum(), (labels < 0).sum()
+    for b in range(64):
+        p, q = (sum(b in x for x, y in zip(rows, labels) if y == s) for s in (1, -1))
+        assert r[b] == pytest.approx(math.log(((p + 20 * n1 / 60) / n1) / ((q + 20 * n0 / 60) / n0)))
+    w, b = nbsvm.dual_descent(rows, labels, r, 1.0, epochs=400)
+    x = np.zeros((60, 65))
+    for i, row in enumerate(rows):
+        x[i, row], x[i, 64] = r.astype(np.float32)[row] / nbsvm.norm(r.astype(np.float32)[row]), 1.0
+    cost = np.where(labels > 0, 30 / n1, 30 / n0)
+    plain, best = np.zeros(65), None
+    loss = lambda v: 0.5 * v @ v + (cost * np.maximum(0, 1 - labels * (x @ v))).sum()
+    for k in range(1, 40_001):  # subgradient descent on the primal
+        plain -= (plain - ((cost * labels * (labels * (x @ plain) < 1)) @ x)) / (k + 50)
+        if k % 200 == 0:
+            best = min(loss(plain), best or loss(plain))
+    assert loss(np.append(w, b)) <= best * 1.005
+
+
 def test_one_document_follows_itself(spark):
     r = fingerprints.with_edit(fingerprints.with_next(spark.sql("select 5L as doc_id, 'abcdefgh' as text"))).first()
     assert r.next_text == "abcdefgh" and r.edited == "abcdefab"
