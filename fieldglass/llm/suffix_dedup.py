@@ -262,12 +262,15 @@ def intervals(long: DataFrame, width: int, keep_first: bool) -> DataFrame:
     runs = staged(_runs(whole, width, keep_first).union(divided).select(F.col("name").alias("context"), "start", "end"), "runs")
     discard(bodies)
 
-    found = met.select("digest", "first", "windows", "context", "at").join(counted.select("context", "n", "rank"), "context")
+    # What is told of each context goes to all its occurrences in one join of two plain tables, which can be split where a context is hot.
+    lists = runs.groupBy("context").agg(F.collect_list(F.struct("start", "end")).alias("runs"))
+    verdicts = staged(counted.select("context", "n", "rank").join(lists, "context", "left"), "verdicts")
     all_of_it = (F.col("at") != F.col("rank")) if keep_first else (F.col("n") > 1)
-    full = found.filter(all_of_it).select("digest", F.col("first").alias("s"), (F.col("first") + F.col("windows") - 1).alias("e"))
-    part = found.filter(~all_of_it).join(runs, "context").select("digest", (F.col("first") + F.col("start")).alias("s"), (F.col("first") + F.col("end")).alias("e"))
-    told = staged(full.union(part).groupBy("digest").agg(F.collect_list(F.struct("s", "e")).alias("intervals")), "intervals")
-    for old in (met, counted, runs):
+    whole = F.array(F.struct(F.col("first").alias("s"), (F.col("first") + F.col("windows") - 1).alias("e")))
+    part = F.transform("runs", lambda r: F.struct((F.col("first") + r["start"]).alias("s"), (F.col("first") + r["end"]).alias("e")))
+    found = met.select("digest", "first", "windows", "context", "at").join(verdicts, "context").select("digest", F.when(all_of_it, whole).otherwise(part).alias("spans"))
+    told = staged(found.filter("spans IS NOT NULL").groupBy("digest").agg(F.flatten(F.collect_list("spans")).alias("intervals")), "intervals")
+    for old in (met, counted, runs, verdicts):
         discard(old)
     return told
 
