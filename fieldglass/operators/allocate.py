@@ -77,10 +77,15 @@ def _numbered(found: DataFrame, seed: bytes, private: bool, taken: DataFrame | N
     return inside.select(*shape).union(wrapped.select(*shape))
 
 
-def allocate_kinds(found: DataFrame, seed: bytes, taken: DataFrame | None = None, attempts: int = ATTEMPTS) -> DataFrame:
-    """(kind, key, original, pseudonym, attempt) for each entity (kind, key, original), as `allocate` for each kind; `taken` has (kind, pseudonym)."""
-    found = staged(found.select("kind", "key", "original"), "wanted")
-    counts = {r["kind"]: r["n"] for r in found.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).collect()}
+def allocate_kinds(found: DataFrame, seed: bytes, taken: DataFrame | None = None, attempts: int = ATTEMPTS, kinds: list[str] | None = None) -> DataFrame:
+    """(kind, key, original, pseudonym, attempt) for each entity (kind, key, original), as `allocate` for each kind; `taken` has (kind, pseudonym).
+
+    Where `kinds` are given and none of them can run out, nothing is counted first.
+    """
+    found, counts = found.select("kind", "key", "original"), dict.fromkeys(kinds or (), 0)
+    if kinds is None or any(k in CAPACITY or k == "ip_address" for k in kinds):
+        found = staged(found, "wanted")
+        counts = {r["kind"]: r["n"] for r in found.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).collect()}
     for kind, n in counts.items():
         if n > CAPACITY.get(kind, n):
             raise AllocationError(f"{n} entities of kind {kind}, and {CAPACITY[kind]} pseudonyms")
@@ -105,7 +110,7 @@ def allocate(found: DataFrame, kind: str, seed: bytes, taken: DataFrame | None =
     entities alone, not on their order, and entries given before are never changed.
     """
     old = None if taken is None else taken.select(F.lit(kind).alias("kind"), "pseudonym")
-    return allocate_kinds(found.withColumn("kind", F.lit(kind)), seed, old, attempts).drop("kind")
+    return allocate_kinds(found.withColumn("kind", F.lit(kind)), seed, old, attempts, [kind]).drop("kind")
 
 
 def composite_email(df: DataFrame, column: str, users: DataFrame, domains: DataFrame) -> DataFrame:
