@@ -9,7 +9,6 @@ import json
 import os
 import tempfile
 from collections.abc import Iterable
-from datetime import datetime
 from pathlib import Path
 
 from pyspark.sql import DataFrame
@@ -34,10 +33,10 @@ def write_atomically(path: str, pieces: Iterable[bytes]) -> None:
         raise
 
 
-def _rows(df: DataFrame) -> Iterable[str]:
+def _rows(df: DataFrame, nulls: bool = True) -> Iterable[str]:
     from pyspark.sql import functions as F
 
-    for r in df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("j")).toLocalIterator(prefetchPartitions=True):
+    for r in df.select(F.to_json(F.struct("*"), {"ignoreNullFields": str(not nulls).lower()}).alias("j")).toLocalIterator(prefetchPartitions=True):
         yield r["j"]
 
 
@@ -72,7 +71,7 @@ def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
     def pieces():
         for i, (name, df) in enumerate((("nodes", nodes), ("edges", edges))):
             yield ((", " if i else '{"graph": {') + f'"{name}": [').encode()
-            for k, row in enumerate(_rows(df)):
+            for k, row in enumerate(_rows(df, nulls=False)):
                 yield (",\n" if k else "\n").encode() + row.encode()
             yield b"]"
         yield b"}}\n"
@@ -80,15 +79,23 @@ def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
     write_atomically(path, pieces())
 
 
+def write_icons(icons: DataFrame, path: str) -> bool:
+    """The icon of each kind as one JSON document of custom types; without kinds no file, and False."""
+    types = {r["kind"]: {"icon": {"type": "font-awesome", "name": r["icon"], "color": r["colour"]}} for r in icons.orderBy("kind").toLocalIterator()}
+    if types:
+        write_atomically(path, [json.dumps({"custom_types": types}).encode()])
+    return bool(types)
+
+
 def sidecars(path: str) -> tuple[str, str]:
     """Names of the line file and of the schema script beside an output."""
     base = path[: -len(".json")] if path.endswith(".json") else path
-    return f"{base}.rows.json", f"{base}.rows.kql"
+    return f"{base}.adx.json", f"{base}.adx.kql"
 
 
 def graph_sidecars(path: str) -> tuple[str, str]:
     base = path[: -len(".json")] if path.endswith(".json") else path
-    return f"{base}.graph.json", f"{base}.icons.json"
+    return f"{base}.opengraph.json", f"{base}.opengraph.icons.json"
 
 
 def default_table(path: str) -> str:
@@ -97,22 +104,27 @@ def default_table(path: str) -> str:
     return L.safe_names([name])[0] if name else "Results"
 
 
-def schema_script(df: DataFrame, table: str, mapping: str, data_file: str) -> str:
-    """Statements that create the table and its JSON mapping for an export of `df`."""
-    names = L.safe_names([f.name for f in df.schema.fields if not f.name.endswith("@odata.type")])
+def table_commands(df: DataFrame, table: str, mapping: str) -> list[str]:
+    """The statements that create a table and its JSON mapping for an export of `df`."""
     fields = [f for f in df.schema.fields if not f.name.endswith("@odata.type")]
-    kinds = [L.export_type(L.declared_type(f.dataType)) for f in fields]
+    names, kinds = L.safe_names([f.name for f in fields]), [L.export_type(L.declared_type(f.dataType)) for f in fields]
     columns = ", ".join(f"{n}:{k}" for n, k in zip(names, kinds, strict=True))
     mapped = json.dumps([{"column": n, "datatype": k, "Properties": {"Path": L.json_path(f.name)}} for n, k, f in zip(names, kinds, fields, strict=True)])
-    quoted = mapped.replace("\\", "\\\\").replace("'", "\\'")
-    return f".create-merge table {table} ({columns})\n\n.create-or-alter table {table} ingestion json mapping '{mapping}' '{quoted}'\n\n// data: {data_file}\n"
+    quoted = mapped.replace("'", "''")
+    return [f".create table {table} ({columns})", f".create-or-alter table {table} ingestion json mapping \"{mapping}\" '{quoted}'"]
+
+
+def schema_script(df: DataFrame, table: str, mapping: str, data_file: str) -> str:
+    """The same statements as a script, with the file that they are for."""
+    return "\n".join([*table_commands(df, table, mapping), f"// data: {data_file}, format json", ""])
 
 
-def signature(token_key: str, when: datetime, method: str, uri: str, body: bytes = b"") -> str:
-    """A request signature: a chain of HMAC-SHA256 over method and address, the hour, and the body, in base64."""
-    digest = hmac.new(token_key.encode(), f"{method}{uri}".encode(), hashlib.sha256).digest()
-    digest = hmac.new(digest, when.strftime("%Y-%m-%dT%H").encode(), hashlib.sha256).digest()
-    return base64.b64encode(hmac.new(digest, body, hashlib.sha256).digest()).decode()
+def signature(token_key: str, when: str, method: str, uri: str, body: bytes = b"") -> str:
+    """A request signature in base64: HMAC-SHA256 over method and path with the key (given in base64), over the request's date with the result, and over the body with that."""
+    digest = base64.b64decode(token_key, validate=True)
+    for part in (f"{method.upper()}{uri}".encode(), when.encode(), body):
+        digest = hmac.new(digest, part, hashlib.sha256).digest()
+    return base64.b64encode(digest).decode()
 
 
 def ingest_failures(reply: dict) -> list[str]:

@@ -10,11 +10,24 @@ from fieldglass.functions import scalar as S
 FALLBACK_KIND, FALLBACK_EDGE, KINDS = "ImportedNode", "RELATED_TO", 3
 #: The icon of each kind known by name, as (icon, colour); other kinds get the last.
 ICONS = {
-    "user": ("user", "#2E86DE"), "person": ("user", "#2E86DE"), "account": ("user", "#2E86DE"), "machine": ("desktop", "#10AC84"), "device": ("desktop", "#10AC84"), "host": ("desktop", "#10AC84"),
-    "alert": ("bell", "#EE5253"), "file": ("file", "#8395A7"), "process": ("gears", "#576574"), "ip": ("globe", "#0ABDE3"), "url": ("link", "#5F27CD"), "mailmessage": ("envelope", "#FF9F43"),
-    "application": ("window-maximize", "#01A3A4"), "cloudresource": ("cloud", "#54A0FF"), "group": ("users", "#F368E0"), "database": ("database", "#222F3E"),
-}
-FALLBACK_ICON = ("circle-question", "#C8D6E5")
+    "alert": ("triangle-exclamation", "#D97706"),
+    "user": ("user", "#16A34A"),
+    "machine": ("desktop", "#2563EB"),
+    "computer": ("desktop", "#2563EB"),
+    "file": ("file", "#6B7280"),
+    "process": ("gears", "#7C3AED"),
+    "ip": ("network-wired", "#0891B2"),
+    "url": ("link", "#0284C7"),
+    "cloudresource": ("cloud", "#0F766E"),
+    "mailmessage": ("envelope", "#DC2626"),
+    "application": ("window-maximize", "#4F46E5"),
+    "group": ("users", "#1D4ED8"),
+    "user_group": ("users", "#1D4ED8"),
+    "finding": ("shield-halved", "#B45309"),
+    "security_finding": ("shield-halved", "#B45309"),
+    "identity": ("id-badge", "#15803D"),
+}
+FALLBACK_ICON = ("circle-question", "#64748B")
 
 
 class GraphError(ValueError):
@@ -151,7 +164,7 @@ def _clean(path: str) -> str:
 def icons(found: DataFrame) -> DataFrame:
     """(kind, icon, colour) of the distinct kinds among nodes."""
     table = F.create_map(*(F.lit(x) for k, v in ICONS.items() for x in (k, f"{v[0]} {v[1]}")))
-    icon = F.split(F.coalesce(F.element_at(table, F.lower("kind")), F.lit(" ".join(FALLBACK_ICON))), " ")
+    icon = F.split(F.coalesce(F.element_at(table, F.lower(F.trim("kind"))), F.lit(" ".join(FALLBACK_ICON))), " ")
     return found.select(F.explode("kinds").alias("kind")).distinct().select("kind", icon[0].alias("icon"), icon[1].alias("colour"))
 
 
@@ -165,3 +178,13 @@ def payload(df: DataFrame, order: str | None = None) -> tuple[DataFrame, DataFra
     rows = classified(df)
     node_rows, edge_rows = rows.filter("row_kind = 'node'").drop("row_kind"), rows.filter("row_kind = 'edge'").drop("row_kind")
     return merged(nodes(node_rows, order).unionByName(endpoint_nodes(edge_rows))), edges(edge_rows)
+
+
+def exported(found: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges in the form of a graph file: names among the properties, and ends as references by id."""
+    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+    held = F.coalesce("properties", none)
+    named = F.map_filter(F.create_map(F.lit("displayname"), F.col("name"), F.lit("name"), F.col("name")), lambda k, v: v.isNotNull() & ~F.map_contains_key(held, k))
+    some = lambda m: F.when(F.size(m) > 0, m)
+    end = lambda c: F.struct(F.lit("id").alias("match_by"), F.col(c).alias("value")).alias(c)
+    return found.select("id", "kinds", some(F.map_concat(held, named)).alias("properties")), links.select(end("start"), end("end"), "kind", some(F.coalesce("properties", none)).alias("properties"))

@@ -32,8 +32,8 @@ def _finish(df: DataFrame, source: str, name: str, out: str, limit: int, vault:
     if graph_files:
         graph_path, icons = files.graph_sidecars(out)
         made, links = graph.payload(df)
-        files.write_graph(made, links, graph_path)
-        files.write_lines(graph.icons(made), icons)
+        files.write_graph(*graph.exported(made, links), graph_path)
+        files.write_icons(graph.icons(made), icons)
     if record is not None:
         entry = {"source": source, "name": name, "status": manifest.status(planned.total), "rows": planned.total, "columns": manifest.columns(df), **manifest.describe(out, manifest_path), **extra}
         record.record(entry)

@@ -351,9 +351,15 @@ def kinds_cap(spark, sf_dir):
     return df.select(F.array_join(G.kinds(F.col("primary"), F.col("categories")), ",").alias("kinds"), "k")
 
 
-@_query("SELECT * FROM (VALUES ('Customer', 'circle-question', '#C8D6E5'), ('User', 'user', '#2E86DE'), ('Alert', 'bell', '#EE5253')) v(kind, icon, colour)")
+@_query("""SELECT kind, icon, colour FROM (SELECT DISTINCT unnest(CASE WHEN o_orderstatus = 'F' THEN ['Alert', 'Finding'] WHEN o_orderstatus = 'O' THEN ['Machine', 'User_Group'] ELSE ['CloudResource'] END) AS kind FROM orders UNION SELECT DISTINCT upper(c_mktsegment) FROM customer)
+ LEFT JOIN (VALUES ('alert', 'triangle-exclamation', '#D97706'), ('finding', 'shield-halved', '#B45309'), ('machine', 'desktop', '#2563EB'), ('user_group', 'users', '#1D4ED8'), ('cloudresource', 'cloud', '#0F766E')) v(k, i, c) ON lower(kind) = k,
+ LATERAL (SELECT coalesce(i, 'circle-question') AS icon, coalesce(c, '#64748B') AS colour)""")
 def node_icons(spark, sf_dir):
-    return G.icons(spark.createDataFrame([("a", ["Customer", "User"]), ("b", ["Alert", "User"])], "id string, kinds array<string>"))
+    """The icons of the kinds that orders and customers have."""
+    status = F.col("o_orderstatus")
+    told = F.when(status == "F", F.array(F.lit("Alert"), F.lit("Finding"))).when(status == "O", F.array(F.lit("Machine"), F.lit("User_Group"))).otherwise(F.array(F.lit("CloudResource")))
+    segments = table(spark, sf_dir, "customer").select(F.array(F.upper("c_mktsegment")).alias("kinds"))
+    return G.icons(table(spark, sf_dir, "orders").select(told.alias("kinds")).unionByName(segments))
 
 
 @_query("SELECT event_id, event_type AS kind, user_id::VARCHAR AS user_id, (props::JSON->>'$.k') AS props_k FROM events")
@@ -396,6 +402,15 @@ _pipe("pipe_buckets", "events | summarize Count = count() by DumpPartition = tol
 _pipe("pipe_pack", "customer | extend band = iff(c_acctbal < 0, \"debit\", \"credit\") | project c_custkey, props = pack(\"name\", c_name, \"band\", band, \"nation\", c_nationkey)", "SELECT c_custkey, to_json({name: c_name, band: CASE WHEN c_acctbal < 0 THEN 'debit' ELSE 'credit' END, nation: c_nationkey})::VARCHAR AS props FROM customer")
 
 
+@_query("SELECT event_id, event_type FROM events WHERE ts < TIMESTAMP '2024-01-25' AND ts + INTERVAL (user_id % 4) DAY < TIMESTAMP '2024-01-25'")
+def pipe_ingested(spark, sf_dir):
+    """ingestion_time() of a query text, from a column of arrival times (the time plus some days)."""
+    from fieldglass.plans import pipe_language as K
+
+    arrived = F.col("ts") + F.make_dt_interval((F.col("user_id") % 4).cast("int"))
+    return K.query("events | where ts < datetime(2024-01-25) and ingestion_time() < datetime(2024-01-25) | project event_id, event_type", lambda n: table(spark, sf_dir, n).withColumn("arrived", arrived), CUTOFF, "arrived")
+
+
 # Command lines, policies, resources, manifest, pseudonymised tables
 
 

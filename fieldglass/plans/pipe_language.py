@@ -1,7 +1,7 @@
 """The pipe query language: texts such as `T | where a > 1 | summarize n = count() by b` planned as DataFrames.
 
 Supported: let, where, extend, project, join kind=inner, summarize, union, take and limit, count; between, case, iff,
-coalesce, isempty, isnotempty, isnull, tostring, tolower, strcat, pack, pack_array, hash_sha256, substring, datetime, ago;
+coalesce, isempty, isnotempty, isnull, tostring, tolower, strcat, pack, pack_array, hash_sha256, substring, datetime, ago, ingestion_time;
 min, max, sum, count, any. Planning is Catalyst's business; this only builds the logical plan.
 """
 
@@ -39,9 +39,10 @@ def _tokens(text: str) -> list[tuple[str, str]]:
 
 
 class Planner:
-    """Reads a query text and builds its DataFrame; tables come from `tables(name)`, `now` is fixed for the whole query."""
+    """Reads a query text and builds its DataFrame; tables come from `tables(name)`, `now` is fixed for the whole query, `ingested` names the column of arrival times."""
 
-    def __init__(self, tables: Callable[[str], DataFrame], now: datetime | None = None):
+    def __init__(self, tables: Callable[[str], DataFrame], now: datetime | None = None, ingested: str | None = None):
+        self.ingested = ingested
         self.tables, self.now = tables, now or datetime.now(UTC).replace(tzinfo=None)
         self.known: dict[str, DataFrame] = {}
 
@@ -244,12 +245,16 @@ class Planner:
         if name == "pack":
             fields = [F.struct(k.cast("string").alias("k"), F.to_json(F.struct(v.alias("v")), {"ignoreNullFields": "false"}).alias("v")) for k, v in zip(a[::2], a[1::2], strict=True)]
             return F.concat(F.lit("{"), F.concat_ws(",", *(F.concat(F.lit('"'), f["k"], F.lit('":'), F.regexp_extract(f["v"], r"(?s)^\{\"v\":(.*)\}$", 1)) for f in fields)), F.lit("}"))
+        if name == "ingestion_time":
+            if self.ingested is None:
+                raise QueryError("ingestion_time() needs a column of arrival times")
+            return F.col(f"`{self.ingested}`")
         if name not in simple:
             raise QueryError(f"function {name} isn't supported")
         return simple[name](*a)
 
 
-def query(text: str, tables: Callable[[str], DataFrame], now: datetime | None = None) -> DataFrame:
+def query(text: str, tables: Callable[[str], DataFrame], now: datetime | None = None, ingested: str | None = None) -> DataFrame:
     if not text.strip():
         raise QueryError("the query is empty")
-    return Planner(tables, now).plan(text)
+    return Planner(tables, now, ingested).plan(text)

@@ -1,3 +1,5 @@
+import base64
+import hmac
 import json
 import os
 from datetime import UTC, datetime
@@ -85,15 +87,18 @@ def test_schema_inference(spark):
 
 def test_schema_script_and_names(spark):
     text = files.schema_script(spark.sql("select 1 as `Device-Name`, 'x' as n"), "T", "M", "f.json")
-    assert "T (Device_Name:int, n:string)" in text and "$[\\'Device-Name\\']" in text
-    assert files.sidecars("a/b.json") == ("a/b.rows.json", "a/b.rows.kql") and files.default_table("x/1 a.json") == "_1_a"
+    assert "T (Device_Name:int, n:string)" in text and "$[''Device-Name'']" in text and 'mapping "M"' in text
+    assert files.sidecars("a/b.json") == ("a/b.adx.json", "a/b.adx.kql") and files.default_table("x/1 a.json") == "_1_a"
 
 
 def test_ingest_replies():
     ok = {"Tables": [{"TableName": "T", "Columns": [{"ColumnName": "ExtentId"}], "Rows": [["1-2"]]}]}
     assert not files.ingest_failures(ok)
     assert files.ingest_failures({"Tables": [{"TableName": "T", "Columns": [{"ColumnName": "extentid"}], "Rows": [["0000-0000"]]}]})
-    assert len(files.signature("k", datetime(2024, 1, 1), "GET", "/x")) == 44
+    key, when = base64.b64encode(b"secret").decode(), "2024-01-01T00:00:00Z"
+    one = hmac.new(b"secret", b"POST/x", "sha256").digest()
+    two = hmac.new(one, when.encode(), "sha256").digest()
+    assert base64.b64decode(files.signature(key, when, "post", "/x", b"body")) == hmac.new(two, b"body", "sha256").digest()
 
 
 def test_graph_shapes(spark):

@@ -42,8 +42,8 @@ def test_collections_in_buckets_with_and_without_pseudonyms(spark, tmp_path, wit
     parts = spark.read.parquet(out + ".parts")
     assert {r[0]: r[1] for r in parts.groupBy("DumpPartition").count().collect()} == dict(p.counts)
     assert parts.select("n", "AccountName").distinct().count() == 500 and (parts.filter("AccountName = 'user1'").count() == 0) is with_vault
-    assert read_named(spark, out).count() == 500 and len((tmp_path / "o.rows.json").read_text().splitlines()) == 500
-    assert (tmp_path / "o.rows.kql").read_text().startswith(".create-merge table o (")
+    assert read_named(spark, out).count() == 500 and len((tmp_path / "o.adx.json").read_text().splitlines()) == 500
+    assert (tmp_path / "o.adx.kql").read_text().startswith(".create table o (")
     with pytest.raises(collect.CollectionError):  # what was there stays if a check fails
         collect.collect_to(spark.range(3), out + ".parts", collect.Plan(4, None, (), ()))
     assert spark.read.parquet(out + ".parts").count() == 500 and not [x for x in tmp_path.iterdir() if x.name.endswith(".new")]
@@ -55,8 +55,11 @@ def test_graph_files_are_written(spark, tmp_path):
     rows = [("a", "User", "Ann", "b", "Machine", "pc", "owns")]
     spark.createDataFrame(rows, "SourceNodeId string, SourceNodeLabel string, SourceNodeName string, TargetNodeId string, TargetNodeLabel string, TargetNodeName string, EdgeLabel string").write.parquet(str(tmp_path / "G.parquet"))
     run.collect_query(Tables(spark, str(tmp_path)), "G | take 5", "g", str(tmp_path / "g.json"), graph_files=True)
-    made = json.loads((tmp_path / "g.graph.json").read_text())["graph"]
-    assert len(made["nodes"]) == 2 and len(made["edges"]) == 1 and len((tmp_path / "g.icons.json").read_text().splitlines()) >= 2
+    made = json.loads((tmp_path / "g.opengraph.json").read_text())["graph"]
+    assert {n["id"]: (n["kinds"], n["properties"]["name"]) for n in made["nodes"]} == {"a": (["User"], "Ann"), "b": (["Machine"], "pc")}
+    assert [(e["start"], e["end"], e["kind"]) for e in made["edges"]] == [({"match_by": "id", "value": "a"}, {"match_by": "id", "value": "b"}, "owns")]
+    icons = json.loads((tmp_path / "g.opengraph.icons.json").read_text())["custom_types"]
+    assert icons == {"Machine": {"icon": {"type": "font-awesome", "name": "desktop", "color": "#2563EB"}}, "User": {"icon": {"type": "font-awesome", "name": "user", "color": "#16A34A"}}}
 
 
 def test_file_families_paths_and_prose(spark):
