@@ -142,6 +142,18 @@ def is_ipv4(c: Column) -> Column:
     return F.coalesce(c.rlike(rf"^(?:{part}\.){{3}}{part}$"), F.lit(False))
 
 
+def is_ip(c: Column) -> Column:
+    """Is a text an IPv4 or IPv6 address? Brackets around it, a zone, one run of omitted groups and an IPv4 tail are understood."""
+    text = F.lower(F.regexp_replace(F.trim(c), r"^\[+|\]+$", ""))
+    tail = F.regexp_extract(text, r"([0-9.]+)(?:%.+)?$", 1)
+    v6 = F.regexp_replace(text, "%.+$", "")
+    v6 = F.when(tail.contains("."), F.when(is_ipv4(tail), F.regexp_replace(v6, r":[0-9.]+$", ":0:0")).otherwise("")).otherwise(v6)
+    group = "[0-9a-f]{1,4}"
+    whole = v6.rlike(rf"^(?:{group}:){{7}}{group}$")
+    short = v6.rlike(rf"^(?:{group}(?::{group})*)?::(?:{group}(?::{group})*)?$") & (F.size(F.filter(F.split(v6, ":"), lambda g: g != "")) <= 7)
+    return F.coalesce(is_ipv4(text) | whole | short, F.lit(False))
+
+
 def is_plausible_phone(c: Column) -> Column:
     """8 to 15 digits that are neither a date nor a version number."""
     digits = F.length(F.regexp_replace(c, "[^0-9]", ""))
