@@ -13,13 +13,13 @@ from fieldglass.plans import pipe_language
 from fieldglass.sources.envelopes import Tables
 
 
-def _finish(df: DataFrame, source: str, name: str, out: str, limit: int, vault: Vault | None, vault_path: str | None, policy: FieldPolicy | None, record: manifest.Manifest | None, manifest_path: str | None, extra: dict, sidecars: bool = False, graph_files: bool = False) -> collect.Plan:
+def finish(df: DataFrame, source: str, name: str, out: str, limit: int, vault: Vault | None, vault_path: str | None, policy: FieldPolicy | None, record: manifest.Manifest | None, manifest_path: str | None, extra: dict, sidecars: bool = False, graph_files: bool = False, options: pseudonyms.Options = pseudonyms.Options()) -> collect.Plan:
     """Plan, pseudonyms, parts, envelope, sidecars and manifest. A row's bucket is fixed on the row as it was counted and goes with it."""
     planned = collect.plan(df, limit)
     if planned.buckets is not None:
         df = collect.with_bucket(df, planned.buckets)
     if vault is not None:
-        df = pseudonyms.pseudonymise(df, policy or FieldPolicy(default_fields(name)), vault)
+        df = pseudonyms.pseudonymise(df, policy or FieldPolicy(default_fields(name)), vault, options=options)
         vault.save(vault_path)  # before any data: a later failure leaves mappings too many, never too few
     if planned.buckets is not None:
         collect.collect_to(df, f"{out}.parts", planned)
@@ -41,7 +41,7 @@ def _finish(df: DataFrame, source: str, name: str, out: str, limit: int, vault:
     return planned
 
 
-def collect_table(source: Tables, name: str, column: str, lookback: str, cutoff: datetime, out: str, limit: int = collect.ROW_LIMIT, vault: Vault | None = None, vault_path: str | None = None, policy: FieldPolicy | None = None, record: manifest.Manifest | None = None, manifest_path: str | None = None, sidecars: bool = False, graph_files: bool = False) -> collect.Plan | None:
+def collect_table(source: Tables, name: str, column: str, lookback: str, cutoff: datetime, out: str, limit: int = collect.ROW_LIMIT, vault: Vault | None = None, vault_path: str | None = None, policy: FieldPolicy | None = None, record: manifest.Manifest | None = None, manifest_path: str | None = None, sidecars: bool = False, graph_files: bool = False, options: pseudonyms.Options = pseudonyms.Options()) -> collect.Plan | None:
     """Collects one table's window; a table that the source lacks is recorded as absent and gives None, a failure is recorded and raised."""
     if not source.exists(name):
         if record is not None:
@@ -50,7 +50,7 @@ def collect_table(source: Tables, name: str, column: str, lookback: str, cutoff:
         return None
     try:
         df = collect.window(source.table(name), column, lookback, cutoff)
-        return _finish(df, "tables", name, out, limit, vault, vault_path, policy, record, manifest_path, {"window_end": cutoff.isoformat(), "window_start": (cutoff - _span(lookback)).isoformat()}, sidecars, graph_files)
+        return finish(df, "tables", name, out, limit, vault, vault_path, policy, record, manifest_path, {"window_end": cutoff.isoformat(), "window_start": (cutoff - _span(lookback)).isoformat()}, sidecars, graph_files, options)
     except Exception as error:
         if record is not None:
             record.record({"source": "tables", "name": name, "status": "not_captured", "note": manifest.failure_note(error, vault is not None)})
@@ -66,6 +66,6 @@ def _span(lookback: str):
     return timedelta(microseconds=lookback_microseconds(lookback))
 
 
-def collect_query(source: Tables, text: str, name: str, out: str, limit: int = collect.ROW_LIMIT, record: manifest.Manifest | None = None, manifest_path: str | None = None, sidecars: bool = False, graph_files: bool = False) -> collect.Plan:
+def collect_query(source: Tables, text: str, name: str, out: str, limit: int = collect.ROW_LIMIT, vault: Vault | None = None, vault_path: str | None = None, policy: FieldPolicy | None = None, record: manifest.Manifest | None = None, manifest_path: str | None = None, sidecars: bool = False, graph_files: bool = False, options: pseudonyms.Options = pseudonyms.Options()) -> collect.Plan:
     """Collects the result of a query text in the same way, without a window."""
-    return _finish(pipe_language.query(text, source.table), "query", name, out, limit, None, None, None, record, manifest_path, {"query": text}, sidecars, graph_files)
+    return finish(pipe_language.query(text, source.table), "query", name, out, limit, vault, vault_path, policy, record, manifest_path, {"query": text}, sidecars, graph_files, options)

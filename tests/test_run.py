@@ -4,6 +4,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from fieldglass import __main__ as command
 from fieldglass import streaming
 from fieldglass.operators import collect, config, files, manifest, paths, run
 from fieldglass.operators.vault import Vault
@@ -90,12 +91,29 @@ def test_settings(tmp_path, monkeypatch):
             config.load_dotenv(str(f))
     with pytest.raises(config.ConfigError):
         config.read_query("a", "b")
-    for bad in ({"table": "t", "query": "q"}, {"lookback": "1d"}, {"irreversible": True}, {"limit": 100_001}, {"out": "a", "vault": "./a"}):
+    for bad in ({"table": "t", "query": "q"}, {"lookback": "1d"}, {"irreversible": True}, {"limit": 100_001}, {"limit": 0}, {"table": "t", "out": "a", "vault": "./a"}, {"table": "a b"}, {"table": "t", "lookback": "5w"}, {"source": "hunt", "query": "q"}, {"manifest": "m", "query": "q"}, {"table": "t", "manifest": "m", "manifest_table": "x"}, {"ingest_file": "f", "cluster": "c"}, {"graph_upload": True, "graph_url": "u", "graph_token": "t"}, {"graph_file": "g", "graph_url": "u", "graph_token_id": "i"}, {"table": "t", "vault": "v", "retention": "some"}, {"table": "t", "out": "o.json", "sidecars": True, "manifest": "o.adx.json"}):
         with pytest.raises(config.ConfigError):
             config.check(bad)
     config.check({"table": "t", "lookback": "1d", "limit": 5, "out": "a", "vault": "b"})
 
 
+def test_commands(spark, tmp_path, capsys):
+    rows = [(datetime(2024, 1, 2), f"user{i}", "a", i) for i in range(40)]
+    spark.createDataFrame(rows, "t timestamp, AccountName string, note string, n long").write.parquet(str(tmp_path / "T.parquet"))
+    at = lambda name: str(tmp_path / name)
+    told = ["--folder", str(tmp_path), "--out", at("o.json"), "--vault", at("v.json"), "--manifest", at("m.json")]
+    assert command.main([*told, "--table", "T", "--time-column", "t", "--lookback", "5d", "--cutoff", "2024-01-05", "--sidecars"], spark) == 0
+    text = (tmp_path / "o.json").read_text()
+    assert "user1" not in text and len((tmp_path / "o.adx.json").read_text().splitlines()) == 40 and (tmp_path / "v.json").exists()
+    assert manifest.Manifest.open(at("m.json"), True, Vault.open(at("v.json")).key_id).tables[0]["rows"] == 40
+    (tmp_path / "q.kql").write_text("T | where n < 3")
+    (tmp_path / ".env").write_text(f"FIELDGLASS_FOLDER={tmp_path}\n")
+    assert command.main(["--query-file", at("q.kql"), "--dotenv", at(".env"), "--out", at("q.json")], spark) == 0
+    assert read_named(spark, at("q.json")).count() == 3
+    for bad in (["--query", "T", "--table", "T"], ["--table", "T", "--folder", str(tmp_path), "--out", at("x.json")], ["--query", "T | nonsense", "--folder", str(tmp_path), "--out", at("x.json")]):
+        assert command.main(bad, spark) == 1 and "error: " in capsys.readouterr().err
+
+
 def test_streams(spark, sf, tmp_path):
     events = spark.read.parquet(f"{sf}/events.parquet").repartition(1)
     events.write.parquet(str(tmp_path / "in"))
