@@ -4,8 +4,9 @@ What becomes of a row's values is told in `rows.Rewriter`. Its first run notes t
 user names one row holds as one user; these are reduced to distinct ones within tasks before they move. User names that
 rows link, directly or through others, share a pseudonym: the smallest name of their component is its root, so the result
 depends on the set of values and not on row order. A person that a row shows with a user is named after that user. The second
-run puts pseudonyms in, from a mapping sent to the executors: it holds only what the rows hold, and at most as many new
-entries as the vault takes in one go, which is checked first. Rows are never shuffled.
+run puts pseudonyms in. A mapping of at most SHIPPED entries is sent to the executors, and rows are not shuffled. A larger one
+stays a table, as does what the vault gets of it: rows are then cut into chunks, each told which entities it asks for, and
+meet the pseudonyms of these by chunk, so that an entity that every row has is joined once a chunk.
 """
 
 from __future__ import annotations
@@ -15,16 +16,16 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fieldglass.functions import digest as D
 from fieldglass.functions.scalar import normalised_field
 from fieldglass.operators import allocate as A
 from fieldglass.operators import paths, recognise, rows
 from fieldglass.operators.policy import FieldPolicy
-from fieldglass.operators.staging import staged
+from fieldglass.operators.staging import hidden, spread, staged
 from fieldglass.operators.vault import Vault, VaultError, canonical
 
 _FAMILY = [
@@ -35,6 +36,8 @@ _FAMILY = [
     (r"(recipient)displayname$", r"\1"),
     (r"(emailaddress|mailaddress|email|upn|address|domain|displayname)$", ""),
 ]
+#: Mappings that are gathered and sent to the executors at most; rows of a chunk, and about how many bytes they have.
+SHIPPED, CHUNK_ROWS, CHUNK_BYTES = 50_000, 2_000, 4 << 20
 _DEVICE = re.compile(r"device|computer|machine|workstation|hostname|dvc")
 
 
@@ -160,8 +163,7 @@ def mapping(found: DataFrame, vault: Vault) -> DataFrame:
     spark = found.sparkSession
     simple, links, named = (found.filter(c) for c in (~F.col("kind").isin("link", "named"), F.col("kind") == "link", F.col("kind") == "named"))
     known = vault.table(spark)
-    inside = F.col("key") if not vault.irreversible else D.vault_key(vault.seed, F.col("kind"), F.col("original"))
-    own = simple.withColumn("__vault", inside)
+    own = vault.keyed(simple)
     old = known.select(F.col("kind").alias("__kind"), F.col("key").alias("__key"), "pseudonym")
     told = staged(own.join(old, (F.col("kind") == F.col("__kind")) & (F.col("__vault") == F.col("__key")), "left").select("kind", "key", "original", "pseudonym"), "told")
 
@@ -184,6 +186,16 @@ def mapping(found: DataFrame, vault: Vault) -> DataFrame:
     return settled.select("kind", "key", "original", "pseudonym").union(users).union(persons).union(rest)
 
 
+def _rewritten(table: pa.RecordBatch | pa.Table, fields: list[T.StructField], rewriter: rows.Rewriter) -> list[pa.Array]:
+    """The columns of a batch with the text fields rewritten."""
+    changed = [rewriter.row(row) for row in _rows(table, fields)]
+    columns = list(table.columns)
+    for f in fields:
+        i = table.schema.get_field_index(f.name)
+        columns[i] = pa.array([_typed(r[f.name], f.dataType) for r in changed], table.column(i).type)
+    return columns
+
+
 def put_in(df: DataFrame, policy: FieldPolicy, told: dict[tuple[str, str], str], options: Options = Options()) -> DataFrame:
     """The rows with every entity replaced by what `told` has for its kind and canonical key; columns keep names, order and types."""
     fields = [f for f in df.schema.fields if _holds_text(f.dataType)]
@@ -193,16 +205,54 @@ def put_in(df: DataFrame, policy: FieldPolicy, told: dict[tuple[str, str], str],
         mapped = shipped.value
         rewriter = rows.Rewriter(policy, identity_family, lambda kind, text: mapped[kind, canonical(text)], None, options.filenames, options.phrases)
         for batch in batches:
-            changed = [rewriter.row(row) for row in _rows(batch, fields)]
-            columns = list(batch.columns)
-            for f in fields:
-                i = batch.schema.get_field_index(f.name)
-                columns[i] = pa.array([_typed(r[f.name], f.dataType) for r in changed], batch.column(i).type)
-            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+            yield pa.RecordBatch.from_arrays(_rewritten(batch, fields, rewriter), names=batch.schema.names)
 
     return df.mapInArrow(run, df.schema)
 
 
+def _chunked(df: DataFrame, policy: FieldPolicy, options: Options, pre: str) -> DataFrame:
+    """The rows with the number of their chunk, and in each chunk's first row the (kind, key) of the entities that the chunk asks for."""
+    fields = [f for f in df.schema.fields if _holds_text(f.dataType)]
+    asked_type = pa.list_(pa.struct([("kind", pa.string()), ("key", pa.string())]))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk = TaskContext.get().partitionId() << 40
+        for batch in batches:
+            step = max(1, min(CHUNK_ROWS, batch.num_rows * CHUNK_BYTES // max(1, batch.nbytes)))
+            for part in (batch.slice(i, step) for i in range(0, batch.num_rows, step)):
+                asked: set[tuple[str, str]] = set()
+
+                def note(kind: str, text: str, asked=asked) -> str:
+                    asked.add((kind, canonical(text)))
+                    return text
+
+                rewriter = rows.Rewriter(policy, identity_family, note, None, options.filenames, options.phrases)
+                for row in _rows(part, fields):
+                    rewriter.row(row)
+                wanted = [[{"kind": k, "key": x} for k, x in sorted(asked)], *[None] * (part.num_rows - 1)]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([chunk] * part.num_rows, pa.int64()), pa.array(wanted, asked_type)], names=[*part.schema.names, f"{pre}chunk", f"{pre}asked"])
+                chunk += 1
+
+    schema = T.StructType([*df.schema.fields, T.StructField(f"{pre}chunk", T.LongType()), T.StructField(f"{pre}asked", T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("key", T.StringType())])))])
+    return df.mapInArrow(run, schema)
+
+
+def put_in_from(df: DataFrame, policy: FieldPolicy, told: DataFrame, options: Options = Options()) -> DataFrame:
+    """As `put_in`, with a mapping (kind, key, pseudonym) of any size, of which each chunk of rows gets what it asks for."""
+    fields, names, pre = [f for f in df.schema.fields if _holds_text(f.dataType)], df.columns, hidden(df)
+    chunks = staged(_chunked(spread(df), policy, options, pre), "chunks")
+    asked = chunks.filter(F.col(f"{pre}asked").isNotNull()).select(F.col(f"{pre}chunk").alias("chunk"), F.explode(f"{pre}asked").alias("e")).select("chunk", "e.kind", "e.key")
+    given = asked.join(told.select("kind", "key", "pseudonym"), ["kind", "key"]).select("chunk", "kind", "key", "pseudonym")
+
+    def run(part: pa.Table, found: pa.Table) -> pa.Table:
+        mapped = {(k, x): p for k, x, p in zip(*(found.column(c).to_pylist() for c in ("kind", "key", "pseudonym")), strict=True)}
+        rewriter = rows.Rewriter(policy, identity_family, lambda kind, text: mapped[kind, canonical(text)], None, options.filenames, options.phrases)
+        part = part.select(names).combine_chunks()
+        return pa.Table.from_arrays(_rewritten(part, fields, rewriter), names=names)
+
+    return chunks.drop(f"{pre}asked").groupBy(f"{pre}chunk").cogroup(given.groupBy("chunk")).applyInArrow(run, df.schema)
+
+
 def pseudonymise(df: DataFrame, policy: FieldPolicy, vault: Vault, record: int = 1_000_000, options: Options = Options()) -> DataFrame:
     """`df` with identities replaced; new mappings are added to the vault, at most `record` of them (else an error, nothing added).
 
@@ -210,11 +260,20 @@ def pseudonymise(df: DataFrame, policy: FieldPolicy, vault: Vault, record: int =
     """
     if options.filenames:
         df = paths.linked_files(df, vault.seed, lambda f: f in policy)
-    found = staged(noted(df, policy, options), "noted")
-    told = mapping(found, vault)
-    entries = told.limit(record + len(vault.mappings) + 1).collect()
-    fresh = [r for r in entries if vault.get(r["kind"], r["original"]) is None]
-    if len(fresh) > record:
-        raise VaultError(f"more than {record} new entities: raise the limit or keep the mapping as a table")
-    vault.add_all((r["kind"], r["original"], r["pseudonym"]) for r in sorted(fresh))
-    return put_in(df, policy, {(r["kind"], r["key"]): r["pseudonym"] for r in entries}, options)
+    found = staged(noted(spread(df), policy, options), "noted")
+    told = staged(mapping(found, vault), "mapping")
+    small = told.count() <= SHIPPED
+    entries = told.collect() if small else []
+    if small and vault.held is None:
+        fresh = [r for r in entries if vault.get(r["kind"], r["original"]) is None]
+        new = len(fresh)
+    else:
+        fresh = staged(vault.unknown(told), "fresh")
+        new = fresh.count()
+    if new > record:
+        raise VaultError(f"more than {record} new entities: raise the limit")
+    if isinstance(fresh, list):
+        vault.add_all((r["kind"], r["original"], r["pseudonym"]) for r in sorted(fresh))
+    elif new:
+        vault.add_table(fresh)
+    return put_in(df, policy, {(r["kind"], r["key"]): r["pseudonym"] for r in entries}, options) if small else put_in_from(df, policy, told, options)
