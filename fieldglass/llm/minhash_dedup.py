@@ -5,7 +5,7 @@ a group of exact copies of any size is one node. Classes that share a band meet
 emits all its pairs: its members are compared with a few leaders first, true links (confirmed on the full
 sets) are merged into components, and only members of different components in one bucket are compared
 further: with other leaders, and then, where few are outside the bucket's largest component, with all
-others. Where many are, an exact prefix filter leaves only pairs that can link. No pair of one bucket is left
+others. Where many are, an exact prefix filter leaves only pairs that can link. No pair is tried twice, and none of one bucket is left
 that is neither in one component, nor compared, nor ruled out, so nothing is lost to hot buckets.
 
 32 bands of 4 coordinates miss a pair at the threshold of 0.75 with probability below 1e-5. Before full sets
@@ -94,10 +94,10 @@ class _Links:
         fitting = pairs.join(side["a"], "a").join(side["b"], "b").filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
         return fitting.select("a", "b", "sa", "sb").mapInArrow(tidied(run), "a long, b long")
 
-    def confirmed(self, pairs: DataFrame) -> DataFrame:
+    def confirmed(self, likely: DataFrame) -> DataFrame:
         one = self.sets.select(F.col("node").alias("a"), F.col("members").alias("ma"))
         two = self.sets.select(F.col("node").alias("b"), F.col("members").alias("mb"))
-        both = self.likely(pairs).join(one, "a").join(two, "b").withColumn("shared", F.size(F.array_intersect("ma", "mb")))
+        both = likely.join(one, "a").join(two, "b").withColumn("shared", F.size(F.array_intersect("ma", "mb")))
         return both.filter(F.col("shared") * 100 >= (F.size("ma") + F.size("mb") - F.col("shared")) * self.percent).select("a", "b")
 
 
@@ -199,8 +199,8 @@ def _labelled(df: DataFrame, key: str, text: str, size: int, percent: int, also:
 
     # The members of each bucket against its smallest and largest class.
     pairs = rows.select("node", F.explode(F.array("low", "high")).alias("leader")).filter("node != leader").select(*_ordered("node", "leader")).distinct()
-    links = _Links(meeting, meeting, percent)
-    likely = staged(links.likely(pairs), "pairs")
+    links, tried = _Links(meeting, meeting, percent), staged(pairs, "tried")
+    likely = staged(links.likely(tried), "pairs")
 
     # Full sets are fetched for classes of buckets where something may link.
     texts = given.withColumnRenamed(key, "__own").join(meeting.select("__first").hint("shuffle_hash"), F.col("__own").eqNullSafe(F.col("__first")), "left_semi")
@@ -222,7 +222,9 @@ def _labelled(df: DataFrame, key: str, text: str, size: int, percent: int, also:
             pairs = _across(_main(rows, "bucket").filter(F.col("others") <= FEW), "bucket")
             many = _main(rows, "bucket").filter(F.col("others") > FEW).select("node", "component").distinct()
             pairs = pairs.union(_across(_main(_prefixes(many.join(links.sets, "node"), percent), "token"), "token", percent)).distinct()
-        new = staged(links.confirmed(staged(pairs, "pairs")), "links")
+        pairs = staged(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")  # a pair that was tried isn't tried again
+        tried = tried.union(pairs)
+        new = staged(links.confirmed(links.likely(pairs)), "links")
         if new.isEmpty():
             continue
         name = label.select("node", "component")

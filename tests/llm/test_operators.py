@@ -569,3 +569,19 @@ def test_chunks_bound_the_text():
     b = pa.RecordBatch.from_arrays([pa.array(["a" * 10] * 7 + ["b" * 100, None, "c"])], names=["text"])
     parts = list(chunks([b, b.slice(0, 0)], limit=25))
     assert sum(p.num_rows for p in parts) == 10 and all(sum(len(x or "") for x in p.column(0).to_pylist()) <= 25 or p.num_rows == 1 for p in parts)
+
+
+def test_no_pair_of_classes_is_tried_twice(spark, monkeypatch):
+    """Near texts under the threshold share buckets in every round; before, their pairs were tried in each of them."""
+    words = [f"w{i}" for i in range(200)]
+    rows = [(g * 10 + k, " ".join(f"{w}g{g}" for w in [*words[: 150 + 2 * k], *(f"x{k}y{i}" for i in range(40))])) for g in range(6) for k in range(8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    tried, plain = [], minhash_dedup._Links.likely
+    monkeypatch.setattr(minhash_dedup._Links, "likely", lambda self, pairs: (tried.extend(tuple(r) for r in pairs.select("a", "b").collect()), plain(self, pairs))[1])
+    got = {r.doc_id: r.component_id for r in minhash_dedup.linked(df).collect()}
+    sets = {i: set(zip(*(t.split()[k:] for k in range(5)))) for i, t in rows}
+    root = {i: i for i in sets}
+    for a, b in sorted((a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])):
+        low, high = sorted((root[a], root[b]))
+        root = {i: low if r == high else r for i, r in root.items()}
+    assert got == root and tried and len(tried) == len(set(tried))
