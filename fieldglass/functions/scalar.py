@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import re
 from fractions import Fraction
+from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -93,6 +94,7 @@ def is_safe_identifier(c: Column) -> Column:
     return F.coalesce(c.rlike("^[A-Za-z_][A-Za-z0-9_]*$"), F.lit(False))
 
 
+@lru_cache(4096)
 def normalised_field(name: str, raw: bool = False) -> str:
     """A field name in lower case without punctuation; unless `raw`, a one-letter type suffix such as _s goes first."""
     text = name.strip().lower()

@@ -42,7 +42,7 @@ def _settled(open_: DataFrame, seed: bytes, used: DataFrame | None, kinds: list[
         if used is not None:
             first = first.join(used, ["kind", "form"], "left_anti")
         done.append(staged(proposed.join(first, ["kind", "form", "key"]).select("kind", "key", "original", "pseudonym", F.lit(attempt).alias("attempt")), "settled"))
-        open_ = proposed.join(done[-1].select("kind", "key"), ["kind", "key"], "left_anti").select("kind", "key", "original")
+        open_ = proposed.join(done[-1].select("kind", "key").hint("merge"), ["kind", "key"], "left_anti").select("kind", "key", "original")
         kinds = [r[0] for r in open_.select("kind").distinct().collect()]
         if not kinds:
             return reduce(DataFrame.union, done)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import fnmatch
 import re
+from functools import lru_cache
 
 from fieldglass.functions.scalar import normalised_field
 
@@ -88,11 +89,16 @@ def default_fields(table: str) -> str:
     return ",".join([*(_GROUPS[g] for g in groups.split()), *([_EXTRA[name]] if name in _EXTRA else [])])
 
 
+#: Field names whose answers are kept; nested texts may have any number of them.
+KNOWN = 4096
+
+
 class FieldPolicy:
     """Field patterns with * and ?, compared without case and punctuation, with and without a type suffix."""
 
     def __init__(self, patterns: str):
         self.patterns = []
+        self.known: dict[str, bool] = {}
         for p in patterns.split(","):
             clean = "".join(c for c in p.strip().lower() if c.isalnum() or c in "*?")
             if p.strip() and not clean.strip("*?") and clean != "*":
@@ -103,8 +109,12 @@ class FieldPolicy:
             raise ValueError("no field patterns")
 
     def __contains__(self, field: str) -> bool:
-        names = {normalised_field(field), normalised_field(field, raw=True)}
-        return any(p.match(n) for p in self.patterns for n in names if n)
+        if (known := self.known.get(field)) is None:
+            if len(self.known) >= KNOWN:
+                self.known.clear()
+            names = {normalised_field(field), normalised_field(field, raw=True)}
+            self.known[field] = known = any(p.match(n) for p in self.patterns for n in names if n)
+        return known
 
 
 #: Rules from a normalised field name to the kind of its values (fixed values); the first that fits decides.
@@ -137,6 +147,7 @@ _CONTEXT = {"user": "person", "person": "person", "identity": "person", "machine
 _NAMED_BY = {"label": ("type", "entityType", "nodeLabel"), "name": ("type", "entityType", "nodeLabel"), "nodename": ("type", "entityType", "nodeLabel"), "sourcenodename": ("sourceNodeLabel", "sourceNodeType"), "targetnodename": ("targetNodeLabel", "targetNodeType")}
 
 
+@lru_cache(KNOWN)
 def field_kind(field: str) -> str | None:
     """The kind of entity a field holds by its name, or None."""
     name = normalised_field(field)
@@ -155,5 +166,6 @@ def field_kind_in(field: str, row: dict) -> str | None:
     return None
 
 
+@lru_cache(KNOWN)
 def is_path_field(field: str) -> bool:
     return bool(re.search(r"folderpath|filepath|fullpath|filedirectory|workingdirectory|currentdirectory|homedirectory|profilepath|sharename$", normalised_field(field)))

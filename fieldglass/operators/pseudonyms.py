@@ -14,6 +14,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -41,6 +42,7 @@ SHIPPED, CHUNK_ROWS, CHUNK_BYTES = 50_000, 2_000, 4 << 20
 _DEVICE = re.compile(r"device|computer|machine|workstation|hostname|dvc")
 
 
+@lru_cache(4096)
 def identity_family(field: str) -> str | None:
     """The family of an identity field: its name with what tells the member taken off."""
     name = normalised_field(field)
@@ -136,7 +138,7 @@ def noted(df: DataFrame, policy: FieldPolicy, options: Options = Options()) -> D
                     if keys:
                         found["named", canonical(p), keys[0]] = ""
 
-            rewriter = rows.Rewriter(policy, identity_family, note, link, options.filenames, options.phrases)
+            rewriter = rows.Rewriter(policy, identity_family, note, link, options.filenames, options.phrases, masks=False)
             for row in _rows(batch, fields):
                 rewriter.row(row)
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in found], pa.string()), pa.array([k[1] for k in found], pa.string()), pa.array(list(found.values()), pa.string()), pa.array([k[2] for k in found], pa.string())], names=["kind", "key", "original", "to"])
@@ -226,7 +228,7 @@ def _chunked(df: DataFrame, policy: FieldPolicy, options: Options, pre: str) ->
                     asked.add((kind, canonical(text)))
                     return text
 
-                rewriter = rows.Rewriter(policy, identity_family, note, None, options.filenames, options.phrases)
+                rewriter = rows.Rewriter(policy, identity_family, note, None, options.filenames, options.phrases, masks=False)
                 for row in _rows(part, fields):
                     rewriter.row(row)
                 wanted = [[{"kind": k, "key": x} for k, x in sorted(asked)], *[None] * (part.num_rows - 1)]
@@ -242,7 +244,7 @@ def put_in_from(df: DataFrame, policy: FieldPolicy, told: DataFrame, options: Op
     fields, names, pre = [f for f in df.schema.fields if _holds_text(f.dataType)], df.columns, hidden(df)
     chunks = staged(_chunked(spread(df), policy, options, pre), "chunks")
     asked = chunks.filter(F.col(f"{pre}asked").isNotNull()).select(F.col(f"{pre}chunk").alias("chunk"), F.explode(f"{pre}asked").alias("e")).select("chunk", "e.kind", "e.key")
-    given = asked.join(told.select("kind", "key", "pseudonym"), ["kind", "key"]).select("chunk", "kind", "key", "pseudonym")
+    given = asked.join(told.select("kind", "key", "pseudonym").hint("merge"), ["kind", "key"]).select("chunk", "kind", "key", "pseudonym")
 
     def run(part: pa.Table, found: pa.Table) -> pa.Table:
         mapped = {(k, x): p for k, x, p in zip(*(found.column(c).to_pylist() for c in ("kind", "key", "pseudonym")), strict=True)}

@@ -62,10 +62,13 @@ def user_name(person: str) -> str:
 
 
 class Rewriter:
-    """Rewrites rows with `get(kind, text)` for simple entities; `link(users, people)` hears which of them a row holds as one."""
+    """Rewrites rows with `get(kind, text)` for simple entities; `link(users, people)` hears which of them a row holds as one.
 
-    def __init__(self, fields: policy.FieldPolicy, family: Callable[[str], str | None], get: Callable[[str, str], str], link: Callable[[list[str], list[str]], None] | None = None, filenames: bool = False, phrases: recognise.Phrases | None = None):
-        self.fields, self.family, self.get, self.link, self.filenames, self.phrases = fields, family, get, link, filenames, phrases
+    Without `masks`, for runs that only note entities, command lines stay as they are: masking asks for none.
+    """
+
+    def __init__(self, fields: policy.FieldPolicy, family: Callable[[str], str | None], get: Callable[[str, str], str], link: Callable[[list[str], list[str]], None] | None = None, filenames: bool = False, phrases: recognise.Phrases | None = None, masks: bool = True):
+        self.fields, self.family, self.get, self.link, self.filenames, self.phrases, self.masks = fields, family, get, link, filenames, phrases, masks
 
     # Entities
 
@@ -138,8 +141,8 @@ class Rewriter:
         out = {}
         for field, value in row.items():
             if isinstance(value, str) and normalised_field(field).endswith("commandline"):
-                known = [v for f, v in row.items() if isinstance(v, str) and v.strip() and policy.field_kind(f) in _IDENTITY]
-                out[field] = command_lines.mask(value, known)
+                known = [v for f, v in row.items() if isinstance(v, str) and v.strip() and policy.field_kind(f) in _IDENTITY] if self.masks else []
+                out[field] = command_lines.mask(value, known) if self.masks else value
             elif field in told:
                 out[field] = told[field]
             elif isinstance(value, str):
