@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fieldglass.llm import nbsvm
-from fieldglass.llm.common import id_remainder, over_text, staged, text_column, texts_of
+from fieldglass.llm.common import give_back, id_remainder, over_text, staged, text_column, texts_of
 
 #: Most labelled documents that a fit takes.
 SAMPLE = 4_000
@@ -57,7 +57,14 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, features: nbsvm.Features
     sizes = sorted(tuple(r) for r in rows.select("order", "size").collect())
     last = max((o for (o, _), n in zip(sizes, np.cumsum([n for _, n in sizes])) if n <= FIT_BYTES), default=sizes[0][0] if sizes else 0)
     rows = sorted(rows.filter(F.col("order") <= last).collect(), key=lambda r: (r["order"], r["buckets"]))
-    return nbsvm.fit([np.cumsum(np.frombuffer(zstandard.ZstdDecompressor().decompress(r["buckets"]), np.int32), dtype=np.int32) for r in rows], np.array([1 if r["label"] == 1 else -1 for r in rows]), share)
+    signs = np.array([1 if r["label"] == 1 else -1 for r in rows])
+    found = [np.cumsum(np.frombuffer(zstandard.ZstdDecompressor().decompress(r["buckets"]), np.int32), dtype=np.int32) for r in rows]
+    del rows
+    try:
+        return nbsvm.fit(found, signs, share)
+    finally:
+        del found
+        give_back()  # the driver lives on, in the pipeline through four more stages
 
 
 def score(docs: DataFrame, model: nbsvm.Model, features: nbsvm.Features, threshold: float, key: str = "doc_id", text: str = "text") -> DataFrame:

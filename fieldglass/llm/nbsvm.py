@@ -101,12 +101,18 @@ def char_features(texts: list[str], bits: int = BITS, orders: Sequence[int] = (3
     return out
 
 
+#: Rows whose buckets are counted at once.
+COUNTED = 64
+
+
 def ratios(rows: Sequence[np.ndarray], labels: np.ndarray, bits: int = BITS, prior: float = 20.0) -> np.ndarray:
     """The log-count ratio of each bucket between the classes; `prior` counts are added in the classes' proportion, so that rare buckets stay near 0."""
-    size, none = 1 << bits, [np.zeros(0, np.int32)]
     n1, n0 = (labels > 0).sum(), (labels <= 0).sum()
-    pos = np.bincount(np.concatenate(none + [r for r, y in zip(rows, labels, strict=True) if y > 0]), minlength=size)
-    neg = np.bincount(np.concatenate(none + [r for r, y in zip(rows, labels, strict=True) if y <= 0]), minlength=size)
+    pos, neg = np.zeros(1 << bits, np.int64), np.zeros(1 << bits, np.int64)
+    for i in range(0, len(rows), COUNTED):  # all rows at once would be held three times, as 64-bit numbers too
+        for total, ones in ((pos, True), (neg, False)):
+            if part := [r for r, y in zip(rows[i : i + COUNTED], labels[i : i + COUNTED], strict=True) if (y > 0) == ones]:
+                total += np.bincount(np.concatenate(part), minlength=len(total))
     return np.log(((pos + prior * n1 / (n1 + n0)) / n1) / ((neg + prior * n0 / (n1 + n0)) / n0))
 
 
