@@ -91,7 +91,7 @@ class _Links:
                 yield batch.filter(pa.array((one == two).sum(axis=1) >= least)).select([0, 1])
 
         side = {c: self.sketches.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")) for c in "ab"}
-        fitting = pairs.join(side["a"], "a").join(side["b"], "b").filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
+        fitting = pairs.join(side["a"], "a").join(side["b"], "b").filter(_fits("na", "nb", percent))
         return fitting.select("a", "b", "sa", "sb").mapInArrow(tidied(run), "a long, b long")
 
     def confirmed(self, likely: DataFrame) -> DataFrame:
@@ -112,17 +112,22 @@ def _main(rows: DataFrame, by: str) -> DataFrame:
     return rows.join(keys.select(by, F.col("top.component").alias("main"), (F.col("all") - F.col("top.n")).alias("others")), by)
 
 
-def _across(rows: DataFrame, by: str, percent: int | None = None) -> DataFrame:
-    """Pairs of nodes of one key in different components; one is outside the key's largest component.
+def _fits(one: str, two: str, percent: int):
+    """Can sets of two sizes reach the threshold?"""
+    return F.least(one, two) * 100 >= F.greatest(one, two) * percent
 
-    With `percent`, rows also have a size n and the key's place among a node's ordered shingles. If the key is the first
-    that two nodes share, they share no more than what follows it in either, which must suffice for a link.
+
+def _across(rows: DataFrame, by: str, percent: int, placed: bool = False) -> DataFrame:
+    """Pairs of nodes of one key in different components whose sizes n leave a link possible; one is outside the key's largest component.
+
+    With `placed`, rows also have the key's place among a node's ordered shingles. If the key is the first that two
+    nodes share, they share no more than what follows it in either, which must suffice for a link.
     """
-    more = ["n", "place"] if percent else []
+    more = ["n", "place"] if placed else ["n"]
     one = rows.filter("component != main").select(by, F.col("node").alias("x"), F.col("component").alias("cx"), *(F.col(c).alias(f"x_{c}") for c in more))
     two = rows.select(by, F.col("node").alias("y"), F.col("component").alias("cy"), *(F.col(c).alias(f"y_{c}") for c in more))
-    met = (one[by] == two[by]) & (F.col("cx") != F.col("cy"))
-    if percent:
+    met = (one[by] == two[by]) & (F.col("cx") != F.col("cy")) & _fits("x_n", "y_n", percent)
+    if placed:
         met &= F.least(F.col("x_n") - F.col("x_place"), F.col("y_n") - F.col("y_place")) * (100 + percent) >= (F.col("x_n") + F.col("y_n")) * percent
     return one.join(two, met).select(*_ordered("x", "y")).distinct()
 
@@ -190,9 +195,9 @@ def _labelled(df: DataFrame, key: str, text: str, size: int, percent: int, also:
     """The rows' signatures, with the columns `also`, and (node, component) of the classes that link with others."""
     given = df.select(F.col(key), *also, text_column(text).alias("__text"))
     signed = staged(signatures(given, key, "__text", size, also), "signatures")
-    banded = signed.filter(F.col("node").isNotNull()).select("node", F.explode("bands").alias("bucket"))
+    banded = signed.filter(F.col("node").isNotNull()).select("node", "n", F.explode("bands").alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high")
-    rows = staged(banded.join(shared, "bucket").select("bucket", "node", "low", "high").distinct(), "buckets")
+    rows = staged(banded.join(shared, "bucket").select("bucket", "node", "n", "low", "high").distinct(), "buckets")
     nodes = rows.select("node").distinct()
     held = signed.filter(F.col("node").isNotNull())
     meeting = staged(held.join(nodes, "node", "left_semi").groupBy("node").agg(F.min(key).alias("__first"), F.min("n").alias("n"), F.min("sketch").alias("sketch")), "meeting")
@@ -209,19 +214,20 @@ def _labelled(df: DataFrame, key: str, text: str, size: int, percent: int, also:
     label = staged(components(found), "components")
 
     for step in range(ROUNDS + 1):
-        open_rows = rows.select("bucket", "node").join(label, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
+        open_rows = rows.select("bucket", "node", "n").join(label, "node", "left").select("bucket", "node", "n", F.coalesce("component", "node").alias("component"))
         if step < ROUNDS:
             order = [F.xxhash64("node", F.lit(step * LEADERS + i)) for i in range(LEADERS)]
-            mixed = open_rows.groupBy("bucket").agg(F.min("component").alias("__low"), F.max("component").alias("__high"), *(F.min(F.struct(o.alias("o"), "node", "component")).alias(f"l{i}") for i, o in enumerate(order))).filter("__low < __high")
-            rows = staged(open_rows.join(mixed, "bucket").select("bucket", "node", "component", F.array(*(F.struct(F.col(f"l{i}.node").alias("node"), F.col(f"l{i}.component").alias("component")) for i in range(LEADERS))).alias("leaders")), "open")
+            mixed = open_rows.groupBy("bucket").agg(F.min("component").alias("__low"), F.max("component").alias("__high"), *(F.min(F.struct(o.alias("o"), "node", "n", "component")).alias(f"l{i}") for i, o in enumerate(order))).filter("__low < __high")
+            rows = staged(open_rows.join(mixed, "bucket").select("bucket", "node", "n", "component", F.array(*(F.struct(F.col(f"l{i}.node").alias("node"), F.col(f"l{i}.n").alias("n"), F.col(f"l{i}.component").alias("component")) for i in range(LEADERS))).alias("leaders")), "open")
             if rows.isEmpty():
                 break
-            pairs = rows.select("node", "component", F.explode("leaders").alias("l")).filter("component != l.component").select(*_ordered("node", "l.node")).distinct()
+            led = rows.select("node", "n", "component", F.explode("leaders").alias("l")).filter("component != l.component")
+            pairs = led.filter(_fits("n", "l.n", percent)).select(*_ordered("node", "l.node")).distinct()
         else:
             rows = staged(open_rows, "open")
-            pairs = _across(_main(rows, "bucket").filter(F.col("others") <= FEW), "bucket")
+            pairs = _across(_main(rows, "bucket").filter(F.col("others") <= FEW), "bucket", percent)
             many = _main(rows, "bucket").filter(F.col("others") > FEW).select("node", "component").distinct()
-            pairs = pairs.union(_across(_main(_prefixes(many.join(links.sets, "node"), percent), "token"), "token", percent)).distinct()
+            pairs = pairs.union(_across(_main(_prefixes(many.join(links.sets, "node"), percent), "token"), "token", percent, placed=True)).distinct()
         pairs = staged(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")  # a pair that was tried isn't tried again
         tried = tried.union(pairs)
         new = staged(links.confirmed(links.likely(pairs)), "links")
